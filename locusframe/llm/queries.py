@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.numbered import SQL_LATEST, sql_consequence, sql_gene, sql_stars, sql_term, sql_variant
 from ..sources.tables import table
-from . import bpe, capping, grouped_splits, mixing, target_sample, top_groups
+from . import bpe, capping, content, grouped_splits, mixing, target_sample, top_groups
 from ..session import written
 
 
@@ -69,9 +69,26 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed_documents(sized, written(mixing.length_plan(sized, weights), "plan"))
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return content.score_documents(documents, content.fit_content(documents, table(spark, d, "doc_labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).filter("score >= 0.5").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return content.source_rates(table(spark, d, "documents"), _scores(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_split, p3_found, p5_found, p5_capped, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_mix)
+    for f in (p2_found, p2_split, p3_found, p5_found, p5_capped, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_mix, p9_found, p9_scores, p9_rates)
 }
 
 _P5 = f"""
