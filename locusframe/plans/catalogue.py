@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import numbered
+from . import numbered, reference
 
-QUERIES = {**numbered.QUERIES}
-ORACLE = {**numbered.ORACLE}
+QUERIES = {**numbered.QUERIES, **reference.QUERIES}
+ORACLE = {**numbered.ORACLE, **reference.ORACLE}
