@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import gene_key, variant_key
-from ..operators.latest import latest_rows, latest_variants
+from ..functions.keys import gene_key
+from ..operators.curation import valid_scores
+from ..operators.latest import latest_variants
 from .runs import RunRanks, take
 
 
@@ -44,17 +45,6 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     return near.repartition(group).sortWithinPartitions(group, *order).mapInArrow(number, f"{ranked}, rank_no int")
 
 
-def valid_scores(scores: DataFrame) -> DataFrame:
-    """One score per variant id: of the rows whose score is a number from 0 to 1, the one scored last.
-
-    Null, NaN, infinite and out-of-range scores never count. Rows scored at the same time: the greatest score. A null id is left out.
-    """
-    rows = scores.select(variant_key(F.col("variant_id")).alias("variant_id"), "score", "scored_at").filter(
-        F.col("score").between(0.0, 1.0) & ~F.isnan("score")
-    )
-    return latest_rows(rows, "variant_id", [F.col("scored_at").desc_nulls_last(), F.col("score").desc()]).drop("scored_at")
-
-
 def variant_genes(variants: DataFrame) -> DataFrame:
     """Gene of each variant id by its latest row; variants without a gene are left out."""
     narrow = variants.select("variant_id", "gene_name", "loaded_at", "row_id")
