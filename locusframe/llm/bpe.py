@@ -310,10 +310,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = DEFAULT_FILE) -> DataFrame:
-    """``docs`` without its text and with ``n_tokens`` (bigint), counted as ``encode_documents`` would; null and empty texts count 0."""
-    if "n_tokens" in docs.columns:
-        raise ValueError("n_tokens is a column of the result")
-    rest = [c for c in docs.columns if c != text]
+    """``docs`` without its text and with ``n_tokens`` (bigint), counted as ``encode_documents`` would; null and empty texts count 0. A column ``n_tokens`` of the input is replaced."""
+    rest = [c for c in docs.columns if c not in (text, "n_tokens")]
     narrow = docs.select(text, *rest)
     fields = docs.select(*rest, F.lit(0).cast("bigint").alias("n_tokens")).schema
     data = _vocabulary(docs.sparkSession, path)

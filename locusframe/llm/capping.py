@@ -26,8 +26,10 @@ def first_by_position(df: DataFrame, contributor: str, order: list[Column], cap:
     is its start; positions below start + cap stay. ``cap`` is a number or the name of a column
     that is the same for all rows of a contributor. ``order`` must end in an identifier. A null contributor is left out.
     ``over_cap`` says that the contributor had more rows than its cap; the one row
-    beyond the cap that proves it does not come out. A cap of 0 keeps nothing; an empty table gives no rows.
+    beyond the cap that proves it does not come out. A cap of 0 or null keeps nothing; an empty table gives no rows. Columns
+    ``position`` and ``over_cap`` of the input are replaced.
     """
+    df = df.drop("position", "over_cap")
     schema = df.schema
     limit = F.lit(cap) if isinstance(cap, int) else F.col(cap)
     fields = schema.simpleString()[len("struct<") : -1]

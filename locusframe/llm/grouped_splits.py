@@ -95,8 +95,9 @@ def split_rows(gene_split: DataFrame) -> DataFrame:
 
 def gene_ties(rows: DataFrame) -> DataFrame:
     """Edges between the genes under which one variant stands: each gene to the variant's first gene, never all pairs."""
+    rows = rows.select("variant_id", "gene_name").distinct()  # a variant delivered very often is one row per gene from here on
     first = rows.groupBy("variant_id").agg(F.min("gene_name").alias("first"), F.max("gene_name").alias("last")).filter("first <> last").select("variant_id", "first")
-    tied = rows.select("variant_id", "gene_name").join(first, "variant_id").filter("gene_name <> first")
+    tied = rows.join(first, "variant_id").filter("gene_name <> first")
     return tied.select(F.col("first").alias("a"), F.col("gene_name").alias("b")).distinct()
 
 

@@ -22,10 +22,10 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     rows a group (nothing is shuffled, and a group of a third of all rows shrinks to ``n`` rows a task);
     what is left is hash-partitioned by group, sorted the same way and streamed again. No
     group is ever buffered. ``order`` must end in an identifier for the same result on every run; full ties keep one
-    of the tied rows. A null group is left out. Fewer than ``n`` rows: all come out. Empty table: no rows.
+    of the tied rows. A null group is left out. Fewer than ``n`` rows: all come out. Empty table: no rows. A column
+    ``rank_no`` of the input is replaced.
     """
-    if "rank_no" in df.columns:
-        raise ValueError("rank_no is a column of the result")
+    df = df.drop("rank_no")
     schema = df.schema
     ranked = schema.simpleString()[len("struct<") : -1]
 
