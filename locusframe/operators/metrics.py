@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.annotate import strata
-from .ordering import join_null_safe, running_totals
+from ..session import written
+from .ordering import blocked_totals, join_null_safe, running_totals
 
 DRAWS = 1 << 16  # draws of one generated block
 
@@ -102,7 +103,7 @@ def bootstrap_intervals(
     ranked = running_totals(clean, group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)}).select(*group, "__y", (F.col("__rank") - 1).alias("position"))
     sizes = clean.groupBy(*group).agg(F.count("*").alias("n"), F.sum("__y").alias("__p")).filter((F.col("__p") >= least) & (F.col("n") - F.col("__p") >= least)).drop("__p")
     drawn = join_null_safe(bootstrap_draws(sizes, group, replicates, seed), ranked, [*group, "position"])
-    run = running_totals(drawn, [*group, "b"], [F.col("position").asc()], {"__k": F.col("times"), "__tp": F.col("times") * F.col("__y")})
+    run = blocked_totals(written(drawn, "drawn"), [*group, "b"], "position", {"__k": F.col("times"), "__tp": F.col("times") * F.col("__y")})
     above = F.sum(F.when(F.col("__y") == 0, F.col("times") * F.col("__tp")).otherwise(0))
     # a positive drawn m times stands at ranks k-m+1..k with m consecutive counts of positives
     first_k, first_tp = F.col("__k") - F.col("times"), F.col("__tp") - F.col("times")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Chromosome names and the columns of the published tables.
 CHROMOSOMES = (*map(str, range(1, 23)), "X", "Y", "M")
 
 VARIANT_COLUMNS = (

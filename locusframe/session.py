@@ -40,10 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and the table survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and the table survives lost executors.
+
+    The table stays as long as the application, since results read from it, and is removed when that ends.
+    """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
 
 
