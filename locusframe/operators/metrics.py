@@ -9,7 +9,7 @@ from ..functions.annotate import strata
 from ..session import written
 from .ordering import blocked_totals, join_null_safe, running_totals
 
-DRAWS = 1 << 16  # draws of one generated block
+DRAWS = 1 << 14  # draws of one generated block
 
 
 def by_stratum(scored: DataFrame, consequence: str = "consequence") -> DataFrame:
@@ -84,6 +84,8 @@ def bootstrap_draws(sizes: DataFrame, group: list[str], replicates: int, seed: i
     blocks = sizes.filter("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
         "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS)))
     )
+    # few rows become very many: spread them first, by a number of partitions that is not merged again for their small size
+    blocks = blocks.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "__block")
     first = F.col("__block") * DRAWS
     draws = blocks.withColumn("__d", F.explode(F.sequence(first, F.least(first + (DRAWS - 1), F.col("n") - 1))))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("__d").cast("string"))
