@@ -306,15 +306,18 @@ class Field:
 
 def _first_guess(feature: np.ndarray, begin: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """Suspicion of every sequence: mean log-odds of its word n-grams, counted in the other judged documents (never its own)."""
-    grams = feature[:, [1, 2, 3]]
-    of_word = np.repeat(owner, np.diff(begin))
-    held = np.unique((of_word[:, None].astype(np.int64) << BITS | grams).ravel())
-    which, holder = held & ((1 << BITS) - 1), held >> BITS
-    in_bad = np.bincount(which, weights=bad[holder], minlength=1 << BITS)
-    in_clean = np.bincount(which, weights=1 - bad[holder], minlength=1 << BITS)
-    share, own = bad.mean(), bad[of_word][:, None]
-    odds = np.log((in_bad[grams] - own + 2 * share) / (in_clean[grams] - (1 - own) + 2 * (1 - share)) * (1 - share) / share)
-    return np.add.reduceat(np.clip(odds, -2.0, 3.0).mean(1), begin[:-1]) / np.diff(begin)
+    of_word = np.repeat(owner, np.diff(begin)).astype(np.int64)
+    share, own = bad.mean(), bad[of_word]
+    total = np.zeros(len(feature))
+    for kind in (1, 2, 3):
+        gram = feature[:, kind]
+        held = np.unique(of_word << BITS | gram)
+        which, holder = held & ((1 << BITS) - 1), held >> BITS
+        in_bad = np.bincount(which, weights=bad[holder], minlength=1 << BITS)
+        in_clean = np.bincount(which, weights=1 - bad[holder], minlength=1 << BITS)
+        odds = np.log((in_bad[gram] - own + 2 * share) / (in_clean[gram] - (1 - own) + 2 * (1 - share)) * (1 - share) / share)
+        total += np.clip(odds, -2.0, 3.0)
+    return np.add.reduceat(total / 3, begin[:-1]) / np.diff(begin)
 
 
 def _fitted(feature: np.ndarray, begin: np.ndarray, pick: np.ndarray, bad: np.ndarray, weight: np.ndarray, seed: int, rounds: int) -> Field:
@@ -366,7 +369,7 @@ def fit_field(texts: list[str], bad: np.ndarray, weight: np.ndarray, seed: int =
             likely[mine] = np.maximum.reduceat(field.tag(feature[rows], ends), ends[:-1])
 
 
-def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 42) -> DataFrame:
+def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42) -> DataFrame:
     """(text, bad, weight) of at most ``most`` documents with a clear verdict, drawn by a seeded hash.
 
     Of several verdicts of a rater on a document the last counts; nulls do not; a document on which the raters are split evenly has no verdict.
@@ -382,7 +385,7 @@ def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 6000,
     return documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id").select("text", bad, trust)
 
 
-def fit_content(documents: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 42) -> tuple[Field, set[str]]:
+def fit_content(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42) -> tuple[Field, set[str]]:
     """Fit on a bounded sample: ``most`` judged documents, the documented bound of what reaches the driver."""
     rows = judged_documents(documents, labels, most, seed).toPandas()
     return fit_field(rows["text"].tolist(), rows["bad"].to_numpy(float), rows["weight"].to_numpy(float), seed)

@@ -109,7 +109,7 @@ def gene_groups(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 def broken_groups(gene_split: DataFrame, seed: int = 42) -> DataFrame:
     """(group_gene, gene_name): the genes of every group whose rows show more than one split."""
-    rows = split_rows(gene_split)
+    rows = written(split_rows(gene_split).distinct(), "rows")  # read several times below
     groups = written(gene_groups(rows, seed), "groups")
     shown = rows.groupBy("gene_name").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     broken = shown.join(groups, "gene_name").groupBy("group_gene").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
@@ -118,7 +118,7 @@ def broken_groups(gene_split: DataFrame, seed: int = 42) -> DataFrame:
 
 def grouped_split(gene_split: DataFrame, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """(variant_id, gene_name, group_gene, split): each distinct variant and gene once, no group of tied genes in two splits."""
-    rows = split_rows(gene_split).select("variant_id", "gene_name").distinct()
+    rows = written(split_rows(gene_split).select("variant_id", "gene_name").distinct(), "rows")
     groups = written(gene_groups(rows, seed), "groups")
     per_gene = rows.groupBy("gene_name").agg(F.count("*").alias("n"))
     sizes = per_gene.join(groups, "gene_name").groupBy(F.col("group_gene").alias("component")).agg(F.sum("n").alias("weight"))
