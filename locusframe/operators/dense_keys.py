@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 FAN_IN = 64
 
 
-def dense_totals(df: DataFrame, keys: dict[str, Column], measures: dict[str, Column] | None = None, blocks: int = 16) -> DataFrame:
+def dense_totals(df: DataFrame, keys: dict[str, Column], measures: dict[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
     """Row count and sums of ``measures`` for each value of each of ``keys``: (field_name, key_value, n_rows, *measures).
 
     Each task takes its input split as it comes, whatever the keys in it (no row is shuffled, so no key can make
     a task long): the keys of an Arrow batch are dictionary-encoded, counted with ``bincount`` and scatter-added
     into dense arrays over the split's dictionary. A split then gives, for each of ``blocks`` hash blocks of the
-    key space, one array block per field; blocks are aligned and summed in two distributed steps, the
-    first over at most ``FAN_IN`` splits each, so no step holds more than its share of the keys.
+    key space (default: as many as shuffle partitions), one array block per field; blocks are aligned and summed in three distributed
+    steps, the first two over at most ``FAN_IN`` array blocks each, so no step holds more than its share of the keys
+    for some tens of splits.
 
     A null key is a group of its own (key_value null); null measures add nothing. Measures are summed as double.
     Empty tables give no rows; repeated rows count each.
     """
     measures = measures or {}
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names, sums = list(keys), list(measures)
     schema = "field_name string, block int, part int, key_value array<string>, n_rows array<bigint>" + "".join(f", `{m}` array<double>" for m in sums)
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * len(sums)]
@@ -80,9 +82,11 @@ def dense_totals(df: DataFrame, keys: dict[str, Column], measures: dict[str, Col
         return pa.Table.from_batches([batch_of([row])])
 
     split_blocks = df.select(*[c.cast("string").alias(n) for n, c in keys.items()], *[c.cast("double").alias(m) for m, c in measures.items()]).mapInArrow(accumulate, schema)
-    near = split_blocks.groupBy("field_name", "block", F.floor(F.col("part") / FAN_IN).alias("near")).applyInArrow(merge, schema)
-    far = near.groupBy("field_name", "block").applyInArrow(merge, schema)
-    flat = far.select("field_name", F.explode(F.arrays_zip("key_value", "n_rows", *sums)).alias("x"))
+    merged = split_blocks
+    for _ in range(2):  # ``merge`` divides the part number by FAN_IN
+        merged = merged.groupBy("field_name", "block", F.floor(F.col("part") / FAN_IN).alias("near")).applyInArrow(merge, schema)
+    merged = merged.groupBy("field_name", "block").applyInArrow(merge, schema)
+    flat = merged.select("field_name", F.explode(F.arrays_zip("key_value", "n_rows", *sums)).alias("x"))
     return flat.select("field_name", "x.key_value", "x.n_rows", *[f"x.{m}" for m in sums])
 
 

@@ -304,9 +304,10 @@ def shard_merge_unique(spark: SparkSession, d: str) -> DataFrame:
     return validation.duplicate_keys(table(spark, d, "scores").select(variant_key(F.col("variant_id")).alias("variant_id")), "variant_id")
 
 
-@query("WITH s AS (SELECT DISTINCT shard FROM scores WHERE shard % 3 <> 1) SELECT r::INT AS shard FROM range((SELECT max(shard) + 1 FROM s)) t(r) WHERE r NOT IN (SELECT shard FROM s)")
+@query("WITH s AS (SELECT DISTINCT shard FROM scores WHERE score > 1 AND NOT isnan(score)) SELECT r::INT AS shard FROM range((SELECT max(shard) + 1 FROM s)) t(r) WHERE r NOT IN (SELECT shard FROM s)")
 def missing_shards(spark: SparkSession, d: str) -> DataFrame:
-    return validation.missing_shards(table(spark, d, "scores").filter("shard % 3 <> 1"))
+    """Shards without a score above 1, up to the last shard that has one."""
+    return validation.missing_shards(table(spark, d, "scores").filter("score > 1 and not isnan(score)"))
 
 
 _SPLIT_IDS = f"(SELECT DISTINCT {sql_variant('variant_id')} AS variant_id FROM gene_split WHERE variant_id IS NOT NULL)"
@@ -443,9 +444,9 @@ def array_select_positions(spark: SparkSession, d: str) -> DataFrame:
     return _selected(spark, d, 12, 4).select("variant_id", "slot", "pos")
 
 
-@query(f"WITH {_select_sql(12, 4)} SELECT sel.variant_id, sel.slot, sel.pos, coalesce(round((a[1] - a[2])::DOUBLE, 6), 0) AS loss FROM sel LEFT JOIN v ON v.variant_id = sel.variant_id AND v.pos = sel.pos AND v.pos % 3 <> 0")
+@query(f"WITH {_select_sql(12, 4)} SELECT sel.variant_id, sel.slot, sel.pos, coalesce(round((a[1] - a[2])::DOUBLE, 6), 0) AS loss FROM sel LEFT JOIN v ON v.variant_id = sel.variant_id AND v.pos = sel.pos AND a[1] > 0")
 def array_loss_diff(spark: SparkSession, d: str) -> DataFrame:
-    losses = _positions(spark, d).filter("pos % 3 <> 0").select("variant_id", "pos", F.col("var_same")[0].cast("double").alias("var_loss"), F.col("var_same")[1].cast("double").alias("ref_loss"))
+    losses = _positions(spark, d).filter("var_same[0] > 0").select("variant_id", "pos", F.col("var_same")[0].cast("double").alias("var_loss"), F.col("var_same")[1].cast("double").alias("ref_loss"))
     out = activations.loss_difference(_selected(spark, d, 12, 4), losses, ["variant_id"])
     return out.select("variant_id", "slot", "pos", F.round("loss", 6).alias("loss"))
 
