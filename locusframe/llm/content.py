@@ -369,8 +369,8 @@ def fit_field(texts: list[str], bad: np.ndarray, weight: np.ndarray, seed: int =
             likely[mine] = np.maximum.reduceat(field.tag(feature[rows], ends), ends[:-1])
 
 
-def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42) -> DataFrame:
-    """(text, bad, weight) of at most ``most`` documents with a clear verdict, drawn by a seeded hash.
+def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42, longest: int = 60_000) -> DataFrame:
+    """(text, bad, weight) of at most ``most`` documents of at most ``longest`` characters with a clear verdict, drawn by a seeded hash.
 
     Of several verdicts of a rater on a document the last counts; nulls do not; a document on which the raters are split evenly has no verdict.
     """
@@ -382,12 +382,12 @@ def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 8000,
     drawn = votes.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
     bad = (F.col("share") > 0.5).cast("double").alias("bad")
     trust = F.least(F.lit(1.0), 0.4 + 0.2 * F.col("n") * F.abs(2 * F.col("share") - 1)).alias("weight")
-    return documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id").select("text", bad, trust)
+    return documents.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(drawn), "doc_id").select("text", bad, trust)
 
 
-def fit_content(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42) -> tuple[Field, set[str]]:
-    """Fit on a bounded sample: ``most`` judged documents, the documented bound of what reaches the driver."""
-    rows = judged_documents(documents, labels, most, seed).toPandas()
+def fit_content(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42, longest: int = 60_000) -> tuple[Field, set[str]]:
+    """Fit on a bounded sample: ``most`` judged documents of ``longest`` characters, the documented bound of what reaches the driver. Only the fit is bounded; scoring is not."""
+    rows = judged_documents(documents, labels, most, seed, longest).toPandas()
     return fit_field(rows["text"].tolist(), rows["bad"].to_numpy(float), rows["weight"].to_numpy(float), seed)
 
 

@@ -26,8 +26,9 @@ def components(edges: DataFrame, seed: int = 42, most_rounds: int = 200) -> Data
     a vertex that only has loops is a component of its own.
     """
     clean = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).filter("a is not null and b is not null")
+    clean = written(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     vertices = clean.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    live = written(clean.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    live = clean.filter("a <> b")
     collapsed: list[DataFrame] = []
     for turn in range(most_rounds):
         if live.isEmpty():
