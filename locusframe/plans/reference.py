@@ -214,6 +214,20 @@ def genome_reference_check(spark: SparkSession, d: str) -> DataFrame:
     return genome.reference_check(variants, genes, genome.tiles(chromosomes, 256), size=256).select("variant_id")
 
 
+_DOC_GENES = "g AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, t, n FROM c WHERE n > 10)"
+
+
+@query(f"WITH {_DOC_GENOME}, {_DOC_GENES}, q AS (SELECT *, substring(t, 6, (n - 10)::INT) AS s FROM g) SELECT doc_id::VARCHAR AS gene_id, md5(CASE WHEN strand = '-' THEN reverse(translate(s, 'ATGCatgcNn', 'TACGtacgNn')) ELSE s END) AS sequence_md5 FROM q")
+def genome_gene_sequences(spark: SparkSession, d: str) -> DataFrame:
+    chromosomes = _doc_genome(spark, d)
+    genes = chromosomes.filter(F.length("sequence") > 10).select(
+        F.col("chrom").alias("gene_id"), "chrom", F.lit(5).cast("bigint").alias("start"), (F.length("sequence") - 5).cast("bigint").alias("end"),
+        F.when(F.col("chrom").cast("bigint") % 2 == 0, "+").otherwise("-").alias("strand"),
+    )
+    out = genome.gene_sequences(genes, genome.tiles(chromosomes, 256), 256)
+    return out.select("gene_id", F.md5("sequence").alias("sequence_md5"))
+
+
 # curated sets
 
 _FIXED = "chrom, pos, ref, alt, variant_type, variant_id, gene_name, label, clinical_significance, stars, consequence, allele_id, disease_name, rs_id"
@@ -326,6 +340,18 @@ def dataset_counts(spark: SparkSession, d: str) -> DataFrame:
     return validation.unequal_counts(tables, "variant_id")
 
 
+@query(f"WITH {CUR}, w AS (SELECT variant_id, 65536::BIGINT AS n, least(pos, 49152) AS o, ref, alt FROM cur) SELECT variant_id, 0 AS dir, (o + greatest(length(ref), length(alt)))::BIGINT AS range_start, least(n, n - length(ref) + length(alt))::BIGINT AS range_end FROM w UNION ALL SELECT variant_id, 1, 0, o FROM w")
+def harvest_ranges(spark: SparkSession, d: str) -> DataFrame:
+    sized = _variants(spark, d).withColumns({"n": F.lit(65_536).cast("bigint"), "o": F.least(F.col("pos"), F.lit(49_152))})
+    return activations.selection_ranges(sized, "n", "o")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT row_id FROM variants WHERE variant_type = 'insertion')")
+def vector_scan(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "variants").filter("variant_type = 'insertion'").select(F.col("row_id").alias("vec_id"))
+    return files.read_vectors(spark, f"{d}/embeddings.parquet", ids, "vec_id").select("vec_id", "label")
+
+
 # evaluation
 
 
@@ -451,6 +477,13 @@ def array_loss_diff(spark: SparkSession, d: str) -> DataFrame:
     return out.select("variant_id", "slot", "pos", F.round("loss", 6).alias("loss"))
 
 
+@query(f"WITH {_select_sql(12, 4)} SELECT variant_id, slot, CASE WHEN pos >= 0 THEN pos + variant_id * 1000 - 25 ELSE -1 END AS pos FROM sel")
+def array_genomic_positions(spark: SparkSession, d: str) -> DataFrame:
+    selected = _selected(spark, d, 12, 4)
+    at = selected.select("variant_id").distinct().withColumn("variant_pos", F.col("variant_id") * 1000).withColumn("offset", F.lit(25))
+    return activations.genomic_positions(selected, at).select("variant_id", "slot", "pos")
+
+
 @query(f"WITH {_VEC}, n AS (SELECT label, a, sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a) + {vectors.FLOAT_EPS!r}::DOUBLE) AS s FROM v), u AS (SELECT label, unnest(range(len(a)))::INT AS dim, unnest(a) / s AS x FROM n) SELECT label, dim, round(avg(x), 9) AS mean FROM u GROUP BY 1, 2")
 def array_rms_mean(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(activations.mean_pooled(_positions(spark, d), ["label"], "var_same"), "mean")

@@ -56,6 +56,17 @@ def read_shards(spark: SparkSession, folder: str, pattern: str = r"scores_shard_
     return df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int"))
 
 
+def read_vectors(spark: SparkSession, path: str, ids: DataFrame | None = None, key: str = "variant_id") -> DataFrame:
+    """A vector dataset, only the rows whose key stands in ``ids`` when given."""
+    df = spark.read.parquet(path)
+    return df if ids is None else df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def write_shards(df: DataFrame, folder: str, shard: str = "shard") -> None:
+    """One folder per shard; a repeated write replaces only the shards it holds."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(folder)
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "errorifexists") -> None:
     """Parquet through the commit protocol: readers see all of it or nothing."""
     writer = df.write.mode(mode)

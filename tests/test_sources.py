@@ -97,6 +97,9 @@ def test_shards_sinks_cache(spark, tmp_path, rows):
     files.write_config({"a": 1}, str(tmp_path / "x/config.json"))
     files.write_table(spark.range(4).selectExpr("id", "id % 2 as shard"), str(tmp_path / "t"), "shard")
     assert files.read_table(spark, str(tmp_path / "t")).filter("shard = 1").count() == 2
+    files.write_shards(spark.createDataFrame([(9, 1)], "id long, shard int"), str(tmp_path / "t"))
+    assert rows(files.read_table(spark, str(tmp_path / "t"))) == [(0, 0), (2, 0), (9, 1)]
+    assert files.read_vectors(spark, str(tmp_path / "t"), spark.range(1, 10), "id").count() == 2
 
 
 def test_stream_resumes(spark, tmp_path):
