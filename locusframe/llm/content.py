@@ -350,11 +350,12 @@ def fit_field(texts: list[str], bad: np.ndarray, weight: np.ndarray, seed: int =
     half = (rng.random(len(texts)) < 0.5)[owner]
     is_bad = bad[owner] > 0
     guess = _first_guess(feature, begin, owner, bad)
-    likely = 1 / (1 + np.exp(-3 * (guess - 0.6)))
+    listed = np.maximum.reduceat(np.where(kind < 4, kind, 0), begin[:-1]) > 0  # holds a seed word
+    likely = 1 / (1 + np.exp(-3 * (guess + 0.7 * listed - 0.6)))
     for turn in range(turns + 1):
         top = np.zeros(len(texts))
         np.maximum.at(top, owner, likely)
-        chosen = is_bad & ((likely > 0.5) | (likely >= top[owner]) & (likely > 0.25))
+        chosen = is_bad & ((likely > 0.5) | (likely >= top[owner]) & (likely > 0.4))
         unsure = is_bad & ~chosen & (likely > 0.2) | ~is_bad & (likely > 0.9)  # a rater may have overlooked it
         use = ~unsure
         trust = np.where(chosen, 1.0, weight[owner])
