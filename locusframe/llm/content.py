@@ -304,20 +304,26 @@ class Field:
                 np.clip(self.start, -6, 6, out=self.start)
 
 
-def _first_guess(feature: np.ndarray, begin: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Suspicion of every sequence: mean log-odds of its word n-grams, counted in the other judged documents (never its own)."""
+def _first_guess(feature: np.ndarray, kind: np.ndarray, begin: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Suspicion of every sequence: mean log-odds of its word n-grams, counted in the other judged documents (never its own).
+
+    A seed word adds to it as far as the n-grams are unknown to the clean ones among them.
+    """
     of_word = np.repeat(owner, np.diff(begin)).astype(np.int64)
     share, own = bad.mean(), bad[of_word]
-    total = np.zeros(len(feature))
-    for kind in (1, 2, 3):
-        gram = feature[:, kind]
+    total, unknown = np.zeros(len(feature)), np.zeros(len(feature))
+    for column in (1, 2, 3):
+        gram = feature[:, column]
         held = np.unique(of_word << BITS | gram)
         which, holder = held & ((1 << BITS) - 1), held >> BITS
         in_bad = np.bincount(which, weights=bad[holder], minlength=1 << BITS)
         in_clean = np.bincount(which, weights=1 - bad[holder], minlength=1 << BITS)
         odds = np.log((in_bad[gram] - own + 2 * share) / (in_clean[gram] - (1 - own) + 2 * (1 - share)) * (1 - share) / share)
         total += np.clip(odds, -2.0, 3.0)
-    return np.add.reduceat(total / 3, begin[:-1]) / np.diff(begin)
+        unknown += in_clean[gram] - (1 - own) <= 0
+    listed = np.maximum.reduceat(np.where(kind < 4, kind, 0), begin[:-1]) > 0
+    mean = lambda x: np.add.reduceat(x / 3, begin[:-1]) / np.diff(begin)
+    return mean(total) + 0.7 * listed * mean(unknown)
 
 
 def _fitted(feature: np.ndarray, begin: np.ndarray, pick: np.ndarray, bad: np.ndarray, weight: np.ndarray, seed: int, rounds: int) -> Field:
@@ -349,9 +355,8 @@ def fit_field(texts: list[str], bad: np.ndarray, weight: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     half = (rng.random(len(texts)) < 0.5)[owner]
     is_bad = bad[owner] > 0
-    guess = _first_guess(feature, begin, owner, bad)
-    listed = np.maximum.reduceat(np.where(kind < 4, kind, 0), begin[:-1]) > 0  # holds a seed word
-    likely = 1 / (1 + np.exp(-3 * (guess + 0.7 * listed - 0.6)))
+    guess = _first_guess(feature, kind, begin, owner, bad)
+    likely = 1 / (1 + np.exp(-3 * (guess - 0.6)))
     for turn in range(turns + 1):
         top = np.zeros(len(texts))
         np.maximum.at(top, owner, likely)
