@@ -108,13 +108,13 @@ def label_quotas(variants: DataFrame, n: int, strength: float = 0.5) -> DataFram
     """
     even = min(strength, 1.0)
     counts = variants.groupBy("consequence", "label").agg(F.count("*").alias("obs_n"))
-    whole = counts.agg(F.sum("obs_n").alias("__rows"))
+    whole = counts.agg(F.sum("obs_n")).scalar()
     per = counts.groupBy("consequence").agg(F.sum("obs_n").alias("__cons"), F.min("obs_n").alias("__least"))
-    target = (F.col("__cons") / F.col("__rows")) * F.pow(2 * F.col("__least") / F.col("__cons"), F.lit(strength)) * (F.col("obs_n") / F.col("__cons") * (1 - even) + 0.5 * even)
-    aimed = counts.join(per, "consequence").crossJoin(F.broadcast(whole)).withColumn("__target", target)  # one row
-    scale = aimed.agg(F.sum("__target").alias("__all"))
-    quota = F.least((F.col("__target") / F.col("__all") * n).cast("bigint"), F.col("obs_n"))
-    return aimed.crossJoin(F.broadcast(scale)).select("consequence", "label", "obs_n", quota.alias("quota"))  # one row
+    target = (F.col("__cons") / whole) * F.pow(2 * F.col("__least") / F.col("__cons"), F.lit(strength)) * (F.col("obs_n") / F.col("__cons") * (1 - even) + 0.5 * even)
+    aimed = counts.join(per, "consequence").withColumn("__target", target)
+    scale = aimed.agg(F.sum("__target")).scalar()
+    quota = F.least((F.col("__target") / scale * n).cast("bigint"), F.col("obs_n"))
+    return aimed.select("consequence", "label", "obs_n", quota.alias("quota"))
 
 
 def balanced_sample(variants: DataFrame, n: int, strength: float = 0.5) -> DataFrame:
@@ -139,8 +139,8 @@ def gene_holdout(variants: DataFrame, test_size: float = 0.2, seed: int = 42, ge
     """Rows with split train or test; no gene in both. A seeded order of the distinct genes, the first share of them is test; rows without a gene are train."""
     names = variants.select(gene).filter(F.col(gene).isNotNull()).distinct()
     placed = shuffled(names, gene, seed)
-    whole = names.agg(F.floor(F.count("*") * F.lit(test_size)).alias("__n_test"))
-    held = placed.crossJoin(F.broadcast(whole)).filter("position < __n_test").select(gene)  # one row
+    n_test = names.agg(F.floor(F.count("*") * F.lit(test_size))).scalar()
+    held = placed.filter(F.col("position") < n_test).select(gene)
     return variants.join(held, gene, "left_semi").withColumn("split", F.lit("test")).unionByName(
         variants.join(held, gene, "left_anti").withColumn("split", F.lit("train"))
     )

@@ -10,8 +10,7 @@ from .ordering import with_position
 
 def contiguous_shards(df: DataFrame, order: list[Column], shards: int) -> DataFrame:
     """Rows with their ``shard``: contiguous stretches of ``order``, as even as can be; never more shards than rows."""
-    whole = df.agg(F.count("*").alias("__n"))
-    placed = with_position(df, order, "__row").crossJoin(F.broadcast(whole))  # one row
+    placed = with_position(df, order, "__row").withColumn("__n", df.agg(F.count("*")).scalar())
     n = F.least(F.lit(shards).cast("bigint"), F.col("__n"))
     return placed.withColumn("shard", F.floor(((F.col("__row") + 1) * n - 1) / F.col("__n")).cast("int")).drop("__row", "__n")
 
@@ -44,8 +43,7 @@ def unequal_counts(tables: dict[str, DataFrame], key: str) -> DataFrame:
     for name, df in tables.items():
         one = df.agg(F.count_distinct(key).alias("n_items")).select(F.lit(name).alias("dataset"), "n_items")
         counts = one if counts is None else counts.unionByName(one)
-    spread = counts.agg((F.max("n_items") != F.min("n_items")).alias("__differ"))
-    return counts.crossJoin(F.broadcast(spread)).filter("__differ").drop("__differ")  # one row
+    return counts.filter(counts.agg(F.max("n_items") != F.min("n_items")).scalar())
 
 
 def id_mismatch(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
