@@ -84,8 +84,8 @@ def cap_contributors(df: DataFrame, contributor: str, order: list[Column], most:
         raise ValueError("give either most or share")
     if share is None:
         return first_by_position(df, contributor, order, int(most))
-    whole = df.agg(F.floor(F.count("*") * F.lit(share)).cast("bigint").alias("__share_cap"))
-    return first_by_position(df.crossJoin(F.broadcast(whole)), contributor, order, "__share_cap").drop("__share_cap")  # one row
+    whole = df.agg(F.floor(F.count("*") * F.lit(share)).cast("bigint")).scalar()
+    return first_by_position(df.withColumn("__share_cap", whole), contributor, order, "__share_cap").drop("__share_cap")
 
 
 def gene_records(variants: DataFrame) -> DataFrame:

@@ -77,9 +77,9 @@ def assign_splits(sizes: DataFrame, shares: dict[str, float], seed: int = 42, pa
     blocks = hashed.groupBy("__block").agg(F.sum("weight").alias("__w"))
     over = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select("__block", F.coalesce(F.sum("__w").over(over), F.lit(0)).alias("__before"))  # `parts` rows
-    whole = sizes.agg(F.sum("weight").alias("__all"))
-    middle = (F.col("__before") + F.sum("weight").over(inside) - F.col("weight") / 2) / F.col("__all")
-    placed = hashed.join(F.broadcast(blocks), "__block").crossJoin(F.broadcast(whole)).withColumn("__x", middle)
+    whole = sizes.agg(F.sum("weight")).scalar()
+    middle = (F.col("__before") + F.sum("weight").over(inside) - F.col("weight") / 2) / whole
+    placed = hashed.join(F.broadcast(blocks), "__block").withColumn("__x", middle)
     choice, upto = None, 0.0
     for name, s in shares.items():
         upto += s / total

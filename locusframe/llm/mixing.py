@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .bpe import DEFAULT_FILE, token_counts
 from .capping import first_by_position
 
@@ -77,10 +78,10 @@ def length_plan(sized: DataFrame, weights: DataFrame, seed: int = 42) -> DataFra
     group of the planning step holds the distinct lengths of one source. Target of a source: weight × T, with T the tokens of all
     weighted sources. Copies and extra together never repeat a document more than max_repeat times.
     """
-    lengths = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs"))
+    lengths = written(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs")), "lengths")  # texts are counted once
     known = weights.filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeat").alias("max_repeat"))
     mine = lengths.join(known, "source").withColumn("__tokens", F.col("n_tokens") * F.col("n_docs"))
-    whole = mine.agg(F.sum("__tokens").alias("__all"))
+    whole = mine.agg(F.sum("__tokens")).scalar()
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n_tokens", ignore_index=True)
@@ -92,7 +93,8 @@ def length_plan(sized: DataFrame, weights: DataFrame, seed: int = 42) -> DataFra
             extra = fit_budget(group["n_tokens"].to_numpy(), group["n_docs"].to_numpy(), int(target) - copies * size, seed)
         return group[["source", "n_tokens", "n_docs"]].assign(copies=copies, extra=extra)
 
-    return mine.crossJoin(F.broadcast(whole)).groupBy("source").applyInPandas(plan, "source string, n_tokens bigint, n_docs bigint, copies int, extra bigint")  # whole: one row
+    planned = mine.withColumn("__all", whole).groupBy("source").applyInPandas(plan, "source string, n_tokens bigint, n_docs bigint, copies int, extra bigint")
+    return written(planned, "plan")
 
 
 def mix_report(plan: DataFrame, weights: DataFrame) -> DataFrame:
@@ -105,9 +107,8 @@ def mix_report(plan: DataFrame, weights: DataFrame) -> DataFrame:
         F.sum(F.col("n_tokens") * F.col("n_docs")).alias("size"), F.sum(F.col("n_tokens") * (F.col("n_docs") * F.col("copies") + F.col("extra"))).alias("used")
     )
     rows = known.join(used, "source", "left").fillna(0, ["size", "used"])
-    whole = rows.agg(F.sum("size").alias("__size"), F.sum("used").alias("__used"))
     target = F.col("weight") * F.col("__size")
-    return rows.crossJoin(F.broadcast(whole)).select(  # one row
+    return rows.withColumns({"__size": rows.agg(F.sum("size")).scalar(), "__used": rows.agg(F.sum("used")).scalar()}).select(
         "source", "weight", "max_repeat", "size", target.alias("target"), "used",
         F.when(F.col("__used") > 0, F.col("used") / F.col("__used")).otherwise(F.lit(0.0)).alias("share"),
         (F.col("max_repeat") * F.col("size") < target).alias("short"),

@@ -66,7 +66,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "source_weights")
     sized = written(mixing.sized_documents(table(spark, d, "documents")), "sized")  # counted once, read twice
-    return mixing.mixed_documents(sized, written(mixing.length_plan(sized, weights), "plan"))
+    return mixing.mixed_documents(sized, mixing.length_plan(sized, weights))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
