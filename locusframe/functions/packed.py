@@ -11,6 +11,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 PAD = " \t\r\n_"
 _KEPT = set("._'\"`´‘’ʼ“”„«»")
@@ -23,7 +24,9 @@ def is_separator(ch: str) -> bool:
     return (category[0] in "PS" or category in ("Cc", "Zl", "Zp")) and category not in _KEPT_CATEGORIES and ch not in _KEPT
 
 
-def _separator_class() -> str:
+@cache
+def _separator() -> re.Pattern:
+    """Pattern of one separator, made once per Python worker."""
     spans, start, last = [], None, None
     for code in range(sys.maxunicode + 1):
         if is_separator(chr(code)):
@@ -33,7 +36,7 @@ def _separator_class() -> str:
         elif start is not None:
             spans.append((start, last))
             start = None
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
 
 
 class PackedTokenizer:
@@ -47,7 +50,7 @@ class PackedTokenizer:
     OPEN, CLOSE = "([{", ")]}"
 
     def __init__(self, terms: Iterable[str] = (), escape: str | None = "\\", brackets: bool = False):
-        self.find = re.compile(_separator_class()).search
+        self.find = _separator().search
         self.escape, self.brackets = escape, brackets
         self.known: dict[str, list[str]] = {}
         for t in {self._fold(t).strip(PAD) for t in terms if t}:

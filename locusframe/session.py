@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -15,15 +16,20 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker (once per application)."""
+    """Make this package importable in every Python worker: an archive in the shared folder, added once per application."""
     sc = spark.sparkContext
     if any(x.endswith(f"{_PACKAGE.name}.zip") for x in sc.listFiles):
         return
-    at = Path(tempfile.mkdtemp(prefix="ship-")) / f"{_PACKAGE.name}.zip"
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
-    sc.addPyFile(str(at))
+    at = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}/{_PACKAGE.name}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(archive.getvalue())
+    out.close()
+    sc.addPyFile(at)
 
 
 def shared_folder(spark: SparkSession) -> str:
