@@ -14,26 +14,29 @@ def info_value(info: Column, key: str) -> Column:
     return F.when(value != "", value)
 
 
+_KEYS = ("GENEINFO", "CLNSIG", "CLNREVSTAT", "MC", "CLNDN", "ALLELEID", "RS")
+
+
 def parse_info(rows: DataFrame, info: str = "info") -> DataFrame:
-    """Adds gene_name, label, clinical_significance, stars, consequence, allele_id, disease_name and rs_id from an INFO column."""
-    i = F.col(info)
-    significance = F.lower(F.coalesce(info_value(i, "CLNSIG"), F.lit("")))
-    return rows.withColumns(
+    """Adds gene_name, label, clinical_significance, stars, consequence, allele_id, disease_name and rs_id from an INFO column.
+
+    Each value is taken out once, in a projection of its own; what is derived from it refers to that column.
+    """
+    raw = rows.withColumns({f"__{k}": info_value(F.col(info), k) for k in _KEYS})
+    raw = raw.withColumn("__CLNSIG", F.lower(F.coalesce("__CLNSIG", F.lit(""))))
+    parsed = raw.withColumns(
         {
-            "gene_name": annotate.first_gene(info_value(i, "GENEINFO")),
-            "label": annotate.significance_label(significance),
-            "clinical_significance": significance,
-            "stars": annotate.review_stars(info_value(i, "CLNREVSTAT")),
-            "consequence": annotate.first_consequence(info_value(i, "MC")),
-            "allele_id": F.expr(f"try_cast({_extract(info, 'ALLELEID')} as bigint)"),
-            "disease_name": annotate.first_disease(info_value(i, "CLNDN")),
-            "rs_id": annotate.rs_identifier(info_value(i, "RS")),
+            "gene_name": annotate.first_gene(F.col("__GENEINFO")),
+            "label": annotate.significance_label(F.col("__CLNSIG")),
+            "clinical_significance": F.col("__CLNSIG"),
+            "stars": annotate.review_stars(F.col("__CLNREVSTAT")),
+            "consequence": annotate.first_consequence(F.col("__MC")),
+            "allele_id": F.expr("try_cast(__ALLELEID as bigint)"),
+            "disease_name": annotate.first_disease(F.col("__CLNDN")),
+            "rs_id": annotate.rs_identifier(F.col("__RS")),
         }
     )
-
-
-def _extract(info: str, key: str) -> str:
-    return f"nullif(regexp_extract(`{info}`, '(?:^|;){key}=([^;]*)', 1), '')"
+    return parsed.drop(*[f"__{k}" for k in _KEYS])
 
 
 def parse_calls(lines: DataFrame, value: str = "value") -> DataFrame:
