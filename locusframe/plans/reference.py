@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import annotate, seq, vectors
-from ..functions.keys import split_key, variant_key
+from ..functions.keys import gene_key, split_key, variant_key
 from ..operators import activations, curation, genome, metrics, probe, validation
 from ..sources import files, gtf, vcf
 from ..sources.tables import table
@@ -127,24 +127,35 @@ SELECT row_id, gene_name, {_SIG} AS label, s AS clinical_significance, (CASE st
   nullif(split_part(consequence, ',', 1), '') AS consequence, allele_id,
   CASE WHEN disease_name <> '' AND lower(replace(split_part(disease_name, '|', 1), '_', ' ')) NOT IN ('not provided', 'not specified') THEN replace(split_part(disease_name, '|', 1), '_', ' ') END AS disease_name, rs_id
 FROM x""")
-def vcf_info_parse(spark: SparkSession, d: str) -> DataFrame:
+def vcf_info_parse_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of ``vcf_info_parse`` in the spelling that its SQL can follow: plain gene symbols, no packed fields."""
+    v = table(spark, d, "variants").filter(F.col("gene_name").rlike("^[A-Z0-9-]+$"))
+    for c in ("clinical_significance", "disease_name"):
+        v = v.filter(~F.coalesce(F.col(c), F.lit("")).rlike("[;\n\t]"))
+    return _info_parsed(v.filter(~F.coalesce(F.col("consequence"), F.lit("")).contains("|")))
+
+
+def _info_parsed(variants: DataFrame) -> DataFrame:
+    """The fields of ``variants`` written as INFO texts and parsed again."""
     status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("row_id") % 6 + 1).cast("int"))
 
     def part(key: str, c) -> object:
         return F.concat(F.lit(f"{key}="), c)
 
-    v = table(spark, d, "variants").filter(F.col("gene_name").rlike("^[A-Z0-9-]+$"))
-    for c in ("clinical_significance", "disease_name"):
-        v = v.filter(~F.coalesce(F.col(c), F.lit("")).rlike("[;\n\t]"))
-    v = v.filter(~F.coalesce(F.col("consequence"), F.lit("")).contains("|"))
     info = F.concat_ws(
         ";", part("GENEINFO", F.concat("gene_name", F.lit(":1|X:2"))), F.lit("FLAG"), part("CLNSIG", F.col("clinical_significance")), part("CLNREVSTAT", status),
         part("MC", F.concat(F.lit("SO:1|"), F.col("consequence"))), part("CLNDN", F.col("disease_name")), part("ALLELEID", F.col("allele_id").cast("string")), part("RS", F.substring("rs_id", 3, 20)),
     )
-    parsed = vcf.parse_info(v.select("row_id", info.alias("info")))
+    parsed = vcf.parse_info(variants.select("row_id", info.alias("info")))
     return parsed.drop("info")
 
 
+@query()
+def vcf_info_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with a gene, however its fields are spelled; a value ends at its first ';'. Its plain rows meet SQL in ``vcf_info_parse_plain``."""
+    return _info_parsed(table(spark, d, "variants").filter(gene_key(F.col("gene_name")).isNotNull()))
+
+
 @query("SELECT row_id, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'snv' WHEN length(alt) > length(ref) THEN 'insertion' WHEN length(alt) < length(ref) THEN 'deletion' END AS kind FROM variants")
 def vcf_variant_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "variants").select("row_id", annotate.variant_type(F.col("ref"), F.col("alt")).alias("kind"))
