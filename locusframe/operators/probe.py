@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,51 @@ def run_model(windows: DataFrame, model: Model) -> DataFrame:
     return windows.filter("var_window is not null").select("variant_id", "ref_window", "var_window").mapInPandas(infer, schema)
 
 
+def _cosines(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> np.ndarray:
+    """``functions.vectors.cosine`` by row, summed in the same order, so that ties are the same."""
+
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            total += x[:, i].astype(np.float64) * y[:, i].astype(np.float64)
+        return total
+
+    return dot(a, b) / (np.maximum(np.sqrt(dot(a, a)), eps) * np.maximum(np.sqrt(dot(b, b)), eps))
+
+
+def selected_positions(windows: DataFrame, model: Model, k: int = 256, window: int = 64) -> DataFrame:
+    """(variant_id, dir, slot, pos): ``activations.select_positions`` over ``run_model``, made where the model runs, so that no position is shuffled.
+
+    windows: (variant_id, ref, alt, offset, ref_window, var_window). Forward behind the variant, its first ``window`` positions guaranteed; backward before
+    it, none guaranteed; slots without a position have pos -1. Variants without var_window give no rows.
+    """
+
+    def pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, sure: int) -> np.ndarray:
+        first = min(start + sure, end, start + k)
+        order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - (first - start)] if end > start else np.empty(0, np.int64)
+        found = np.sort(np.r_[np.arange(start, max(first, start)), first + order]).astype(np.int64)
+        return np.r_[found, np.full(k - len(found), -1, np.int64)]
+
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                rows = whole.slice(at, 256).to_pylist()
+                pos = []
+                for r in rows:
+                    rf, rb, _, _ = both_directions(model, r["ref_window"])
+                    vf, vb, _, _ = both_directions(model, r["var_window"])
+                    shared, o = min(len(rf), len(vf)), r["offset"]
+                    pos.append(pick(vf, rf, o + max(len(r["ref"]), len(r["alt"])), shared, window))
+                    pos.append(pick(vb[:shared], rb[:shared], 0, o, 0))
+                ids = pa.array([r["variant_id"] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), 2 * k)))
+                dirs = pa.array(np.tile(np.repeat(np.array([0, 1], np.int32), k), len(rows)))
+                slots = pa.array(np.tile(np.arange(k, dtype=np.int32), 2 * len(rows)))
+                yield pa.RecordBatch.from_arrays([ids, dirs, slots, pa.array(np.concatenate(pos))], ["variant_id", "dir", "slot", "pos"])
+
+    usable = windows.filter("var_window is not null").select("variant_id", "ref", "alt", "offset", "ref_window", "var_window")
+    return usable.mapInArrow(infer, "variant_id string, dir int, slot int, pos bigint")
+
+
 def projection(d_in: int, d_hidden: int, seed: int = 42) -> np.ndarray:
     return (np.random.default_rng(seed).standard_normal((d_in, d_hidden)) / np.sqrt(d_in)).astype(np.float32)
 

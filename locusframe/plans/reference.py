@@ -197,10 +197,13 @@ def _doc_genome(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chrom"), text.alias("sequence")).filter("sequence <> ''")
 
 
-def _doc_variants(chromosomes: DataFrame) -> DataFrame:
+def _doc_variants(chromosomes: DataFrame, wrong: bool = True) -> DataFrame:
+    """One variant a document; ``wrong``: every fourth has a reference allele that does not stand there."""
     n, doc = F.length("sequence"), F.col("chrom").cast("bigint")
     pos = doc * 37 % n
-    ref = F.when(doc % 4 == 0, "#").otherwise(F.upper(F.substring("sequence", (pos + 1).cast("int"), F.lit(1))))
+    ref = F.upper(F.substring("sequence", (pos + 1).cast("int"), F.lit(1)))
+    if wrong:
+        ref = F.when(doc % 4 == 0, "#").otherwise(ref)
     return chromosomes.select(F.col("chrom").alias("variant_id"), "chrom", pos.cast("bigint").alias("pos"), ref.alias("ref"), F.lit("ACG").alias("alt"))
 
 
@@ -516,12 +519,7 @@ def probe_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows, mutation, both model passes and selected positions end to end, with the stand-in model."""
+    """Windows, mutation, both model passes and selected positions end to end, with the stand-in model; sizes are the operators' defaults."""
     chromosomes = _doc_genome(spark, d)
-    windows = genome.variant_windows(_doc_variants(chromosomes), genome.tiles(chromosomes, 256), 96, 32, 256).filter("ref_ok")
-    rows = probe.run_model(windows, probe.hashed_model())
-    sized = windows.withColumn("len", F.length("ref_window").cast("bigint"))
-    ranges = activations.selection_ranges(sized, "len", "offset")
-    return activations.select_positions(rows.drop("ref_cross"), ranges, ["variant_id", "dir"], 8, 2).select("variant_id", "dir", "slot", "pos")
-
-
+    windows = genome.variant_windows(_doc_variants(chromosomes, wrong=False), genome.tiles(chromosomes, 256), size=256)
+    return probe.selected_positions(windows, probe.hashed_model())

@@ -1,8 +1,11 @@
 """Queries do the whole job: no row, replicate or letter is left out on the way to the operator."""
 
-import pytest
+import random
 
-from locusframe.plans import catalogue, reference
+from pyspark.sql import functions as F
+
+from locusframe.operators import activations, genome, probe
+from locusframe.plans import reference
 
 
 def save(spark, folder, name, data, schema):
@@ -33,3 +36,23 @@ def test_info_parse_takes_every_row(spark, tmp_path):
     save(spark, tmp_path, "variants", data, "row_id long, gene_name string, clinical_significance string, consequence string, allele_id long, disease_name string, rs_id string")
     got = reference.vcf_info_parse(spark, str(tmp_path)).select("row_id", "gene_name", "clinical_significance", "consequence", "allele_id", "disease_name", "rs_id")
     assert sorted(map(tuple, got.collect())) == [info_fields(*row) for row in data[:6]]
+
+
+def test_model_windows_reads_whole_documents(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choice("ACGT -") for _ in range(n)) for i, n in enumerate([900, 1500, 3, 700, 1, 2000, 400, 90, 1200])}
+    save(spark, tmp_path, "documents", [(i, t) for i, t in texts.items()] + [(90, None), (91, "--")], "doc_id long, text string")
+    got = {}
+    for r in reference.model_windows(spark, str(tmp_path)).collect():
+        got.setdefault((int(r.variant_id), r.dir), {})[r.slot] = r.pos
+    chromosomes = reference._doc_genome(spark, str(tmp_path))
+    windows = genome.variant_windows(reference._doc_variants(chromosomes, wrong=False), genome.tiles(chromosomes, 256), size=256)
+    letters = {i: "".join(c for c in t if c.isalpha()) for i, t in texts.items()}
+    assert {int(r.variant_id): r.ref_window for r in windows.collect()} == {i: t for i, t in letters.items() if t}
+    ranges = activations.selection_ranges(windows.withColumn("len", F.length("ref_window").cast("bigint")), "len", "offset")
+    rows, want = probe.run_model(windows, probe.hashed_model()), {}
+    for direction, sure in ((0, 64), (1, 0)):
+        for r in activations.select_positions(rows.filter(F.col("dir") == direction), ranges.filter(F.col("dir") == direction), ["variant_id", "dir"], 256, sure).collect():
+            want.setdefault((int(r.variant_id), r.dir), {})[r.slot] = r.pos
+    assert got == want and {i for i, _ in got} == {i for i, t in letters.items() if t} and all(len(x) == 256 for x in got.values())
+    assert max(max(x.values()) for x in got.values()) > 1000
