@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from locusframe.operators import activations, genome, probe
+from locusframe.operators import activations, genome, metrics, probe
 from locusframe.plans import reference
 
 
@@ -56,3 +57,38 @@ def test_model_windows_reads_whole_documents(spark, tmp_path):
             want.setdefault((int(r.variant_id), r.dir), {})[r.slot] = r.pos
     assert got == want and {i for i, _ in got} == {i for i, t in letters.items() if t} and all(len(x) == 256 for x in got.values())
     assert max(max(x.values()) for x in got.values()) > 1000
+
+
+def test_bootstrap_takes_1000_replicates(spark, monkeypatch):
+    """Against brute force: the weights of all blocks written out as rows, and numpy's own draws."""
+    rng, n, b, size = np.random.default_rng(4), 150, 1000, 32
+    y = rng.integers(0, 2, n)
+    s = rng.random(n) + 0.3 * y
+    data = [("a", f"v{i:03d}", float(s[i]), int(y[i])) for i in range(n)] + [(None, f"v{i:03d}", float(s[i]), int(y[i])) for i in range(n)] + [("few", f"v{i}", 0.5, i % 2) for i in range(8)] + [("a", "x", None, 1)]
+    df = spark.createDataFrame(data, "g string, variant_id string, score double, y int")
+    got = {r.g: tuple(r)[1:] for r in metrics.blocked_bootstrap_intervals(df, ["g"], "score", "y", "variant_id", size=size).collect()}
+    assert set(got) == {"a", None}
+    ranked = y[np.argsort(-s)]
+    cuts = [*range(0, n, size), n]
+    p, q = (np.array([(ranked[:c] == k).sum() for c in cuts]) for k in (1, 0))
+
+    def measured(t):
+        tp = np.cumsum(t)
+        return (tp * (1 - t)).sum() / (t.sum() * (n - t.sum())), (tp / np.arange(1, n + 1) * t).sum() / t.sum()
+
+    for key in ("a", None):
+        weights = np.zeros((b, n), int)
+        for k in range(len(cuts) - 1):
+            at = np.arange(cuts[k], cuts[k + 1])
+            for r, (p0, n0, wp, wn) in enumerate(metrics.block_weights((key,), p, q, k, b)):
+                assert (p0, n0) == tuple(weights[r][: cuts[k]][ranked[: cuts[k]] == c].sum() for c in (1, 0))
+                weights[r][at[ranked[at] == 1]], weights[r][at[ranked[at] == 0]] = wp, wn
+        assert (weights.sum(1) == n).all() and abs(weights.var(0).mean() - (1 - 1 / n)) < 0.05
+        values = np.array([measured(np.repeat(ranked, w)) for w in weights])
+        assert np.allclose(got[key], [np.quantile(values[:, m], c) for m in (0, 1) for c in (0.025, 0.975)])
+        free = np.array([measured(ranked[np.sort(rng.integers(0, n, n))]) for _ in range(4000)])
+        assert np.allclose(got[key], [np.quantile(free[:, m], c) for m in (0, 1) for c in (0.025, 0.975)], atol=0.02)
+    used = []
+    monkeypatch.setattr(reference.metrics, "blocked_bootstrap_intervals", lambda *a, **k: used.append(k["replicates"]) or spark.createDataFrame([(0.1,) * 4], "auroc_ci_lo double, auroc_ci_hi double, auprc_ci_lo double, auprc_ci_hi double"))
+    reference.metric_bootstrap_ci(spark, "/root/testdata/sf0.001")
+    assert used == [1000]
