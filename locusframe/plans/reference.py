@@ -12,6 +12,8 @@ from ..sources import files, gtf, vcf
 from ..sources.tables import table
 from .numbered import SQL_BLANKS, SQL_LATEST, sql_consequence, sql_gene, sql_stars, sql_term, sql_variant
 
+BUDGET = 200_000  # variants of a deconfounded sample, as published
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -273,20 +275,32 @@ quo AS (SELECT consequence, label, obs_n, least(trunc(t / (SELECT sum(t) FROM tg
 
 
 @query(f"WITH {CUR}, {BIN}, {_quotas('bin', 500)} SELECT consequence, label, obs_n, quota FROM quo")
-def deconfounded_quota(spark: SparkSession, d: str) -> DataFrame:
+def deconfounded_quota_500(spark: SparkSession, d: str) -> DataFrame:
     return curation.label_quotas(curation.binarised(_variants(spark, d)), 500)
 
 
+@query()
+def deconfounded_quota(spark: SparkSession, d: str) -> DataFrame:
+    """The published budget."""
+    return curation.label_quotas(curation.binarised(_variants(spark, d)), BUDGET)
+
+
 _DRAWN = """ gr AS (SELECT *, row_number() OVER (PARTITION BY consequence, label, gene_name ORDER BY stars DESC NULLS FIRST, allele_id ASC NULLS FIRST, variant_id) AS g FROM {0}),
 kr AS (SELECT *, row_number() OVER (PARTITION BY consequence, label ORDER BY g, stars DESC NULLS FIRST, allele_id ASC NULLS FIRST, variant_id) AS k FROM gr)
 SELECT variant_id FROM kr JOIN quo USING (consequence, label) WHERE k <= quota"""
 
 
 @query(f"WITH {CUR}, {BIN}, {_quotas('bin', 500)}, {_DRAWN.format('bin')}")
-def deconfounded_sample(spark: SparkSession, d: str) -> DataFrame:
+def deconfounded_sample_500(spark: SparkSession, d: str) -> DataFrame:
     return curation.balanced_sample(curation.binarised(_variants(spark, d)), 500).select("variant_id")
 
 
+@query()
+def deconfounded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The published budget."""
+    return curation.balanced_sample(curation.binarised(_variants(spark, d)), BUDGET).select("variant_id")
+
+
 @query(f"WITH {CUR}, {BIN}, {_SMALL}, {_quotas('sml', 8000)}, {_DRAWN.format('sml')}")
 def preset_pilot(spark: SparkSession, d: str) -> DataFrame:
     return curation.pilot(_variants(spark, d), _genes(spark, d)).select("variant_id")

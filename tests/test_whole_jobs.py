@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -92,3 +93,17 @@ def test_bootstrap_takes_1000_replicates(spark, monkeypatch):
     monkeypatch.setattr(reference.metrics, "blocked_bootstrap_intervals", lambda *a, **k: used.append(k["replicates"]) or spark.createDataFrame([(0.1,) * 4], "auroc_ci_lo double, auroc_ci_hi double, auprc_ci_lo double, auprc_ci_hi double"))
     reference.metric_bootstrap_ci(spark, "/root/testdata/sf0.001")
     assert used == [1000]
+
+
+def test_deconfounded_queries_use_the_published_budget(spark):
+    """The SQL of the small budget, run with 200,000."""
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("variants", "genes"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    for name, columns in (("deconfounded_quota", "consequence, label, obs_n, quota"), ("deconfounded_sample", "variant_id")):
+        sql = reference.ORACLE[f"{name}_500"]
+        assert sql.count("* 500)") == 1
+        want = con.execute(f"SELECT {columns} FROM ({sql.replace('* 500)', '* 200000)')})").fetchall()
+        got = getattr(reference, name)(spark, folder).select(*columns.split(", ")).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+        assert len(got) > 500 or name == "deconfounded_quota"
