@@ -77,11 +77,18 @@ def seq_strand_offset(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT doc_id, substring(text, doc_id % 50 + 1, 5) AS piece, substring(text, doc_id % 50 + 1, 5) = substring(text, 1, 5) AS same FROM documents WHERE text IS NOT NULL")
-def seq_substring_check(spark: SparkSession, d: str) -> DataFrame:
+def seq_substring_check_50(spark: SparkSession, d: str) -> DataFrame:
     piece = seq.slice_at(F.col("text"), F.col("doc_id") % 50, F.lit(5))
     return table(spark, d, "documents").filter("text is not null").select("doc_id", piece.alias("piece"), (piece == F.substring("text", 1, 5)).alias("same"))
 
 
+@query()
+def seq_substring_check(spark: SparkSession, d: str) -> DataFrame:
+    """Positions anywhere in the text, as in ``seq_mutate``; an empty text gives an empty piece."""
+    piece = seq.slice_at(F.col("text"), F.coalesce(F.try_mod(F.col("doc_id") * 37, F.length("text")), F.lit(0)), F.lit(5))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", piece.alias("piece"), (piece == F.substring("text", 1, 5)).alias("same"))
+
+
 _WINDOW = "greatest(0, least(p - 300, n - least(400, n)))"
 
 

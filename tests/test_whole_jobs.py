@@ -107,3 +107,12 @@ def test_deconfounded_queries_use_the_published_budget(spark):
         got = getattr(reference, name)(spark, folder).select(*columns.split(", ")).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
         assert len(got) > 500 or name == "deconfounded_quota"
+
+
+def test_substrings_from_the_whole_text(spark, tmp_path):
+    texts = {i: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(n)) for i, n in enumerate([0, 1, 60, 300, 2000, 997])}
+    save(spark, tmp_path, "documents", [*texts.items(), (9, None)], "doc_id long, text string")
+    want = {i: t[(p := i * 37 % len(t) if t else 0) : p + 5] for i, t in texts.items()}
+    got = reference.seq_substring_check(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.piece for r in got} == want and {r.doc_id: r.same for r in got} == {i: want[i] == t[:5] for i, t in texts.items()}
+    assert want[5] == texts[5][185:190]
