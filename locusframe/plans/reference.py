@@ -514,12 +514,20 @@ def array_select_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_select_sql(12, 4)} SELECT sel.variant_id, sel.slot, sel.pos, coalesce(round((a[1] - a[2])::DOUBLE, 6), 0) AS loss FROM sel LEFT JOIN v ON v.variant_id = sel.variant_id AND v.pos = sel.pos AND a[1] > 0")
-def array_loss_diff(spark: SparkSession, d: str) -> DataFrame:
+def array_loss_diff_part(spark: SparkSession, d: str) -> DataFrame:
+    """Without the losses of positions whose first component is not above 0, so that some are missing."""
     losses = _positions(spark, d).filter("var_same[0] > 0").select("variant_id", "pos", F.col("var_same")[0].cast("double").alias("var_loss"), F.col("var_same")[1].cast("double").alias("ref_loss"))
     out = activations.loss_difference(_selected(spark, d, 12, 4), losses, ["variant_id"])
     return out.select("variant_id", "slot", "pos", F.round("loss", 6).alias("loss"))
 
 
+@query()
+def array_loss_diff(spark: SparkSession, d: str) -> DataFrame:
+    losses = _positions(spark, d).select("variant_id", "pos", F.col("var_same")[0].cast("double").alias("var_loss"), F.col("var_same")[1].cast("double").alias("ref_loss"))
+    out = activations.loss_difference(_selected(spark, d, 12, 4), losses, ["variant_id"])
+    return out.select("variant_id", "slot", "pos", F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {_select_sql(12, 4)} SELECT variant_id, slot, CASE WHEN pos >= 0 THEN pos + variant_id * 1000 - 25 ELSE -1 END AS pos FROM sel")
 def array_genomic_positions(spark: SparkSession, d: str) -> DataFrame:
     selected = _selected(spark, d, 12, 4)

@@ -116,3 +116,14 @@ def test_substrings_from_the_whole_text(spark, tmp_path):
     got = reference.seq_substring_check(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.piece for r in got} == want and {r.doc_id: r.same for r in got} == {i: want[i] == t[:5] for i, t in texts.items()}
     assert want[5] == texts[5][185:190]
+
+
+def test_loss_differences_take_every_loss(spark):
+    """The SQL of the part, run without its condition."""
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    sql = reference.ORACLE["array_loss_diff_part"]
+    assert sql.count(" AND a[1] > 0") == 1
+    want = con.execute(f"SELECT variant_id, slot, pos, loss FROM ({sql.replace(' AND a[1] > 0', '')})").fetchall()
+    got = reference.array_loss_diff(spark, folder).select("variant_id", "slot", "pos", "loss").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r.loss for r in got)
