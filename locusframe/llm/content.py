@@ -2,17 +2,13 @@
 
 Two tags: part of an offending span, or not. Raters judge whole documents, so the labelled tokens are made from
 their verdicts: in a document judged clean no token offends; in one judged bad the tokens of its most suspect cues do,
-first by the log-odds of word n-grams, then twice by the field's own marginals. The fit takes a bounded sample
+first by the log-odds of word n-grams, then twice by the marginals of a field fitted to the other half of the documents. The fit takes a bounded sample
 of the judged documents; scoring covers every word of every document.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,413 +16,261 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lexicon import CLASSES, LEET, LOOKALIKES
-
-BITS = 18
-LONGEST = 128  # words of a sequence; longer cues are scored in consecutive parts
-_TIME = r"(?:\d+:[\d:.,]+[ \t]*-->[^\n]*|\{\d+\}\{\d+\})"
-_CUT = re.compile(_TIME)
-_JOIN = re.compile(rf"(?:\.\.\.|…)[^\w\n]{{0,20}}\n\s*(?:\d+\s*\n\s*)?{_TIME}[^\w\n]{{0,20}}\s*[^\w\n]{{0,20}}(?:\.\.\.|…)")
-_MARKUP = re.compile(r"<[^<>\n]{0,80}>|\{\\[^}\n]*\}")
-_ENTITY = re.compile(r"&(#39|apos|#x27)?[#\w]{0,6};")
-_INSIDE = "\x01​‌‍⁠­"  # removed markup and invisible characters: part of the word around them
-_SPACED = re.compile(r"[ .\-_*]\w[ .\-_*]\w(?!\w)")
-_SPACED_WORD = r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)|"
-_PLAIN_WORD = rf"\0|[^\W_](?:[\w*@$€'’´{_INSIDE}-]*[\w*@$€])?"
-_CP1252 = "‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸŽž€"
-_BROKEN = re.compile(f"[ÃÂÐÑÄÅâ][\x80-\xbf{_CP1252}]|[À-ÿ]{{4}}")
-_BROKEN_WORD = rf"\0|[^\W_÷×](?:[\w*@$'´÷×\x80-\x9f\xa2-\xbe{_CP1252}{_INSIDE}-]|(?<=[ÃÂÐÑÄÅ])[\xa0\xa1\xbf])*|[÷×][\w÷×]+"
-_WORDS = {(a, b): re.compile((_SPACED_WORD if a else "") + (_BROKEN_WORD if b else _PLAIN_WORD)) for a in (False, True) for b in (False, True)}
-_LETTER = re.compile(r"[^\W\d_]")
-_ODD = re.compile(f"[\x80-\xff{_CP1252}]")
-_REPEATS = re.compile(r"(.)\1{2,}")
-_GAPS = re.compile(r"[ .\-_]")
-
-
-def _decoded(s: str) -> str:
-    """Undo up to two wrong decodings of UTF-8, and Cyrillic read as Latin."""
-    for _ in range(2):
-        for codec in ("cp1252", "latin-1"):
-            try:
-                t = s.encode(codec).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-            s = t
-            break
-        else:
-            break
-    if len(s) > 1 and all("\xc0" <= c <= "\xff" or c in "\xa8\xb8" for c in s):
-        s = s.encode("latin-1").decode("cp1251", "replace")
-    return s
-
-
-class Reader:
-    """Turns texts into sequences of word codes; the spelling of each distinct word is settled once."""
-
-    def __init__(self, known: set[str] = frozenset()):
-        self.lexicon = {w: k for k, words in CLASSES.items() for w in words}
-        self.known = set(known) | set(self.lexicon)
-        self.masked: dict[int, list[str]] = {}
-        for w in self.lexicon:
-            self.masked.setdefault(len(w), []).append(w)
-        self.words = _Words(self)
-
-    def spelling(self, raw: str) -> str:
-        """The word in common spelling: encodings, look-alikes, digits for letters, gaps, stretched and swapped letters undone."""
-        s = raw.translate(_UNSEEN)
-        s = _decoded(s) if _ODD.search(s) else s
-        s = unicodedata.normalize("NFKC", s).lower().replace("’", "'").replace("´", "'")
-        if not s.isascii() and any("a" <= c <= "z" for c in s):
-            s = "".join(LOOKALIKES.get(c, c) for c in s)
-        if s in self.known:
-            return s
-        tried = [s]
-        if any(c in LEET for c in s):
-            tried += ["".join(LEET.get(c, c) for c in s), "".join({"1": "l"}.get(c) or LEET.get(c, c) for c in s)]
-        for t in tried[:]:
-            if _GAPS.search(t):
-                tried.append(_GAPS.sub("", t))
-        for t in tried[:]:
-            if _REPEATS.search(t):
-                tried += [_REPEATS.sub(r"\1", t), _REPEATS.sub(r"\1\1", t)]
-        for t in tried[:]:
-            tried += [t.replace(a, b) for a, b in (("rn", "m"), ("vv", "w"), ("ii", "ll"), ("l", "i"), ("i", "l"), ("0", "o"), ("c", "e")) if a in t]
-        for t in tried:
-            if t in self.known:
-                return t
-        for t in (s, _GAPS.sub("", s)):
-            if "*" in t:
-                pattern = re.compile(re.escape(t).replace(r"\*", "."))
-                for w in self.masked.get(len(t), ()):
-                    if pattern.fullmatch(w):
-                        return w
-                return "*"
-            if 3 <= len(t) <= 12:
-                for i in range(len(t) - 1):
-                    swapped = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
-                    if swapped in self.lexicon:
-                        return swapped
-        return tried[1] if len(tried) > 1 and any(c in LEET for c in s) else s
-
-    @staticmethod
-    def _plain(text: str, in_place: bool = False) -> tuple[str, re.Pattern]:
-        """The text with timing lines as cue marks and without markup, and the pattern of its words; a cue that runs on in the next is not cut.
-
-        in_place: keep every word where it stands.
-        """
-
-        def by(mark: str) -> object:
-            return (lambda m: mark.ljust(m.end() - m.start())) if in_place else mark
-
-        text = text.replace("\0", " ")
-        if "..." in text or "…" in text:
-            text = _JOIN.sub(by(" "), text)
-        text = _CUT.sub(by("\0"), text)
-        if "<" in text or "{" in text:
-            text = _MARKUP.sub((lambda m: "\1" * (m.end() - m.start())) if in_place else "\1", text)
-        if "&" in text:
-            text = _ENTITY.sub(lambda m: ("'" if m.group(1) else " ").ljust(m.end() - m.start() if in_place else 1, "\1" if m.group(1) else " "), text)
-        return text, _WORDS[_SPACED.search(text) is not None, _BROKEN.search(text) is not None]
-
-    def _raw(self, text: str) -> list[str]:
-        plain, word = self._plain(text)
-        return word.findall(plain)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(code, class) of every word, first word of every sequence (and the total), text number of every sequence."""
-        if len(self.words) > 1_000_000:
-            self.words = _Words(self)
-        look = self.words.__getitem__
-        per_text = [np.fromiter(map(look, self._raw(t)), np.int64) if t else _NONE for t in texts]
-        number = np.concatenate(per_text) if per_text else _NONE
-        owner = np.repeat(np.arange(len(texts)), [len(x) for x in per_text])
-        cue = np.cumsum(number == 0)
-        real = number > 1
-        number, owner, cue = number[real], owner[real], cue[real]
-        code, kind = np.array(self.words.code, np.int64)[number], np.array(self.words.kind, np.int64)[number]
-        if not len(number):
-            return code, kind, np.zeros(1, np.int64), owner
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (cue[1:] != cue[:-1])]
-        begin = np.flatnonzero(new)
-        place = np.arange(len(number)) - np.repeat(begin, np.diff(np.r_[begin, len(number)]))
-        begin = np.flatnonzero(place % LONGEST == 0)
-        return code, kind, np.r_[begin, len(number)], owner[begin]
-
-    def places(self, text: str) -> np.ndarray:
-        """(start, end) in ``text`` of the words that ``read`` gives for it."""
-        plain, word = self._plain(text, in_place=True)
-        return np.array([m.span() for m in word.finditer(plain) if self.words[m.group()] > 1], np.int64).reshape(-1, 2)
-
-
-class _Words(dict):
-    """Number of each raw word: 0 the cue mark, 1 not a word; code and class by number."""
-
-    def __init__(self, reader: Reader):
-        super().__init__({"\0": 0})
-        self.reader, self.code, self.kind = reader, [0, 0], [0, 0]
-
-    def __missing__(self, raw: str) -> int:
-        if raw.isdecimal() or not _LETTER.search(raw):
-            number = 1
-        else:
-            s = self.reader.spelling(raw)
-            number = len(self.code)
-            self.code.append(zlib.crc32(s.encode()) & 0x7FFFFFFF | 4)
-            self.kind.append(4 if s == "*" else self.reader.lexicon.get(s, 0))
-        self[raw] = number
-        return number
-
-
-_NONE = np.zeros(0, np.int64)
-_UNSEEN = dict.fromkeys(map(ord, _INSIDE))
-
-
-def features(code: np.ndarray, kind: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Hashed feature numbers of every word, [words, features]: the word, its class, and both with their neighbours."""
-    n = len(code)
-    if n == 0:
-        return np.zeros((0, 10), np.int32)
-    first = np.zeros(n, bool)
-    first[begin[:-1]] = True
-    last = np.zeros(n, bool)
-    last[begin[1:] - 1] = True
-    second = np.r_[False, first[:-1]] | first
-
-    def shift(x: np.ndarray, by: int) -> np.ndarray:
-        out = np.roll(x, by)
-        if by == 1:
-            out[first] = 1
-        elif by == 2:
-            out[second] = 1
-        else:
-            out[last] = 2
-        return out
-
-    before, before2, after, kind_before, kind_after = shift(code, 1), shift(code, 2), shift(code, -1), shift(kind, 1), shift(kind, -1)
-    columns = (
-        (code,), (before, code), (code, after), (before2, before, code), (before, after),
-        (kind,), (kind, before), (kind, after), (kind, before2, before), (kind, kind_before, kind_after),
-    )
-    out = np.empty((n, len(columns)), np.int32)
-    for i, column in enumerate(columns):
-        h = np.full(n, 0x9E37 + 7919 * i, np.uint64)
-        for c in column:
-            h = (h ^ c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
-        out[:, i] = (h & np.uint64((1 << BITS) - 1)).astype(np.int32)
-    return out
-
-
-class Field:
-    """Weights of the conditional random field: per feature (for the offending tag), transitions and first tag."""
-
-    def __init__(self) -> None:
-        self.weight = np.zeros(1 << BITS)
-        self.step = np.array([[0.0, -3.0], [-3.0, 0.0]])
-        self.start = np.array([0.0, -3.0])
-
-    def marginals(self, score: np.ndarray, size: np.ndarray, gradient: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward-backward over padded emission scores [sequences, words]: P(word offends), expected steps, P(first tag)."""
-        rows, longest = score.shape
-        step, odds = np.exp(self.step), np.exp(np.clip(score, -30, 30)).T.copy()
-        a0, a1 = np.empty((longest, rows)), np.empty((longest, rows))
-        x, y = np.full(rows, np.exp(self.start[0])), np.exp(self.start[1]) * odds[0]
-        a0[0], a1[0] = x / (x + y), y / (x + y)
-        for t in range(1, longest):
-            x = a0[t - 1] * step[0, 0] + a1[t - 1] * step[1, 0]
-            y = (a0[t - 1] * step[0, 1] + a1[t - 1] * step[1, 1]) * odds[t]
-            a1[t] = y / (x + y)
-            a0[t] = 1 - a1[t]
-        p = np.empty((longest, rows))
-        b0 = b1 = np.ones(rows)
-        steps = np.zeros((2, 2))
-        for t in range(longest - 1, -1, -1):
-            if t < longest - 1:
-                live = size > t + 1
-                y = odds[t + 1] * b1
-                if gradient:
-                    pair = np.array([[a0[t] * step[0, 0] * b0, a0[t] * step[0, 1] * y], [a1[t] * step[1, 0] * b0, a1[t] * step[1, 1] * y]])
-                    steps += (pair / pair.sum((0, 1)))[:, :, live].sum(2)
-                n0, n1 = step[0, 0] * b0 + step[0, 1] * y, step[1, 0] * b0 + step[1, 1] * y
-                b0, b1 = np.where(live, n0 / (n0 + n1), 1.0), np.where(live, n1 / (n0 + n1), 1.0)
-            y = a1[t] * b1
-            p[t] = y / (a0[t] * b0 + y)
-        inside = np.arange(longest)[None, :] < size[:, None]
-        first = p[0].sum()
-        return np.where(inside, p.T, 0.0), steps, np.array([rows - first, first])
-
-    def padded(self, begin: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers [sequences, longest], sizes, inside) of the picked sequences."""
-        size = begin[pick + 1] - begin[pick]
-        at = np.arange(size.max())
-        inside = at[None, :] < size[:, None]
-        return np.where(inside, begin[pick][:, None] + at[None, :], 0), size, inside
-
-    def tag(self, feature: np.ndarray, begin: np.ndarray, block: int = 8192) -> np.ndarray:
-        """P(word offends) for every word."""
-        out = np.zeros(len(feature))
-        if not len(feature):
-            return out
-        emission = self.weight[feature].sum(1)
-        order = np.argsort(np.diff(begin), kind="stable")
-        for i in range(0, len(order), block):
-            where, size, inside = self.padded(begin, order[i : i + block])
-            p, _, _ = self.marginals(np.where(inside, emission[where], 0.0), size)
-            out[where[inside]] = p[inside]
-        return out
+from ..session import written
+from .field import Field
+from .words import BITS, GRAMS, Reader, features
 
-    def fit(self, feature: np.ndarray, begin: np.ndarray, bad: np.ndarray, weight: np.ndarray, rounds: int = 6, block: int = 1024, seed: int = 42, decay: float = 5e-4) -> None:
-        """Maximise the conditional likelihood by AdaGrad; bad: tag of each sequence (all its words), weight: of each sequence."""
-        rng = np.random.default_rng(seed)
-        past, past_step, past_start = np.full(1 << BITS, 0.1), np.full((2, 2), 1.0), np.full(2, 1.0)
-        size = np.diff(begin)
-        for _ in range(rounds):
-            order = np.argsort(size + rng.random(len(size)) * 3, kind="stable")
-            blocks = [order[i : i + block] for i in range(0, len(order), block)]
-            for b in rng.permutation(len(blocks)):
-                pick = blocks[b]
-                where, length, inside = self.padded(begin, pick)
-                used, tag = feature[where[inside]], bad[pick]
-                score = np.zeros(where.shape)
-                score[inside] = self.weight[used].sum(1)
-                p, steps, first = self.marginals(score, length, gradient=True)
-                gap = ((tag[:, None] - p) * weight[pick][:, None])[inside]
-                gradient = np.bincount(used.ravel(), weights=np.repeat(gap, used.shape[1]), minlength=1 << BITS)
-                touched = np.flatnonzero(gradient)
-                gradient = gradient[touched] - decay * self.weight[touched]
-                past[touched] += gradient**2
-                self.weight[touched] += 0.3 * gradient / np.sqrt(past[touched])
-                stays = np.array([((1 - tag) * (length - 1)).sum(), (tag * (length - 1)).sum()])
-                for value, seen, held, rate in ((self.step, np.diag(stays) - steps, past_step, 0.1), (self.start, np.array([(1 - tag).sum(), tag.sum()]) - first, past_start, 0.1)):
-                    held += seen**2
-                    value += rate * seen / np.sqrt(held)
-                np.clip(self.step, -6, 6, out=self.step)
-                np.clip(self.start, -6, 6, out=self.start)
-
-
-def _first_guess(feature: np.ndarray, kind: np.ndarray, begin: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Suspicion of every sequence: mean log-odds of its word n-grams, counted in the other judged documents (never its own).
-
-    A seed word adds to it as far as the n-grams are unknown to the clean ones among them.
-    """
-    of_word = np.repeat(owner, np.diff(begin)).astype(np.int64)
-    share, own = bad.mean(), bad[of_word]
-    total, unknown = np.zeros(len(feature)), np.zeros(len(feature))
-    for column in (1, 2, 3):
-        gram = feature[:, column]
-        held = np.unique(of_word << BITS | gram)
-        which, holder = held & ((1 << BITS) - 1), held >> BITS
-        in_bad = np.bincount(which, weights=bad[holder], minlength=1 << BITS)
-        in_clean = np.bincount(which, weights=1 - bad[holder], minlength=1 << BITS)
-        odds = np.log((in_bad[gram] - own + 2 * share) / (in_clean[gram] - (1 - own) + 2 * (1 - share)) * (1 - share) / share)
-        total += np.clip(odds, -2.0, 3.0)
-        unknown += in_clean[gram] - (1 - own) <= 0
-    listed = np.maximum.reduceat(np.where(kind < 4, kind, 0), begin[:-1]) > 0
-    mean = lambda x: np.add.reduceat(x / 3, begin[:-1]) / np.diff(begin)
-    return mean(total) + 0.7 * listed * mean(unknown)
-
-
-def _fitted(feature: np.ndarray, begin: np.ndarray, pick: np.ndarray, bad: np.ndarray, weight: np.ndarray, seed: int, rounds: int) -> Field:
-    """A field fitted to the picked sequences."""
-    field, size = Field(), np.diff(begin)[pick]
-    rows = np.repeat(begin[pick] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    field.fit(feature[rows], np.r_[0, np.cumsum(size)], bad[pick], weight[pick], rounds=rounds, seed=seed)
-    return field
-
-
-def fit_field(texts: list[str], bad: np.ndarray, weight: np.ndarray, seed: int = 42, turns: int = 2) -> tuple[Field, set[str]]:
-    """Field and known spellings from judged texts. bad: 1 or 0 per text; weight: trust in the verdict.
-
-    Which cues of a bad text offend is settled without looking at that text's own labels: first by n-gram counts in the other
-    texts, then ``turns`` times by a field fitted to the other half of the texts. The last field is fitted to all.
-    """
-    known: Counter[str] = Counter()
-    reader = Reader()
-    for text in texts:
-        known.update({w for raw in reader._raw(text) if (w := raw.lower()).isalpha()})
-    often = max(3, len(texts) // 400)
-    reader = Reader({w for w, n in known.items() if n >= often})
-    code, kind, begin, owner = reader.read(texts)
-    if not len(owner) or not bad.any() or bad.all():
-        field = Field()
-        field.start[1] = field.step[0, 1] = -30.0  # nothing to learn from: no word offends
-        return field, reader.known
-    feature = features(code, kind, begin)
-    rng = np.random.default_rng(seed)
-    half = (rng.random(len(texts)) < 0.5)[owner]
-    is_bad = bad[owner] > 0
-    guess = _first_guess(feature, kind, begin, owner, bad)
-    likely = 1 / (1 + np.exp(-3 * (guess - 0.6)))
-    for turn in range(turns + 1):
-        top = np.zeros(len(texts))
-        np.maximum.at(top, owner, likely)
-        chosen = is_bad & ((likely > 0.5) | (likely >= top[owner]) & (likely > 0.4))
-        unsure = is_bad & ~chosen & (likely > 0.2) | ~is_bad & (likely > 0.9)  # a rater may have overlooked it
-        use = ~unsure
-        trust = np.where(chosen, 1.0, weight[owner])
-        if turn == turns:
-            return _fitted(feature, begin, np.flatnonzero(use), chosen.astype(float), trust, seed, 6), reader.known
-        for side in (half, ~half):
-            field = _fitted(feature, begin, np.flatnonzero(use & ~side), chosen.astype(float), trust, seed, 3)
-            mine = np.flatnonzero(side)
-            size = np.diff(begin)[mine]
-            rows = np.repeat(begin[mine] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            ends = np.r_[0, np.cumsum(size)]
-            likely[mine] = np.maximum.reduceat(field.tag(feature[rows], ends), ends[:-1])
+SIZE = 1 << BITS
+TURNS = 2  # relabelling turns before the last fit
+Model = tuple[Field, set[str]]
 
 
 def judged_documents(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42, longest: int = 60_000) -> DataFrame:
-    """(text, bad, weight) of at most ``most`` documents of at most ``longest`` characters with a clear verdict, drawn by a seeded hash.
+    """(doc_id, text, bad, weight) of at most ``most`` documents of at most ``longest`` characters with a clear verdict, drawn by a seeded hash of their id.
 
-    Of several verdicts of a rater on a document the last counts; nulls do not; a document on which the raters are split evenly has no verdict.
+    Of several verdicts of a rater on a document the last counts; nulls do not; a document on which the raters are split evenly has no verdict. The length
+    is looked at before the draw: more verdicts than asked for are drawn first, and more again should too few of their documents be short enough.
+    The draw is written, since the fit reads it twice.
     """
     last = W.partitionBy("doc_id", "rater").orderBy(F.col("rated_at").desc_nulls_last(), F.col("flagged").desc())
     votes = (
         labels.filter("flagged is not null and doc_id is not null").withColumn("__r", F.row_number().over(last)).filter("__r = 1")
         .groupBy("doc_id").agg(F.avg("flagged").alias("share"), F.count("*").alias("n")).filter("share <> 0.5")
     )
-    drawn = votes.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     bad = (F.col("share") > 0.5).cast("double").alias("bad")
     trust = F.least(F.lit(1.0), 0.4 + 0.2 * F.col("n") * F.abs(2 * F.col("share") - 1)).alias("weight")
-    return documents.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(drawn), "doc_id").select("text", bad, trust)
+    wide = 2 * most
+    while True:
+        drawn = votes.orderBy(*order).limit(wide)
+        usable = documents.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(drawn), "doc_id")  # at most ``wide`` rows of three numbers
+        found = written(usable.select("doc_id", "text", bad, trust), "judged")
+        if found.count() >= most or drawn.count() < wide:
+            return found.orderBy(*order).limit(most)
+        wide *= 4
+
+
+def _spellings(judged: DataFrame, least: int) -> set[str]:
+    """Lower-case words that stand in at least ``least`` of the judged documents."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            found: list[str] = []
+            for t in batch.column(0).to_pylist():
+                found += filter(str.isalpha, {raw.lower() for raw in reader.raw(t or "")})
+            counted = pa.array(found, pa.string()).value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field(0), counted.field(1)], names=["word", "n"])
+
+    counts = judged.select("text").mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word for r in counts.filter(F.col("n") >= least).select("word").collect()}
+
+
+_SHARD = "shard int, code binary, kind binary, begin binary, owner binary, bad binary, weight binary, half binary"
+_TYPES = {"code": np.int32, "kind": np.int8, "begin": np.int64, "owner": np.int64, "bad": np.float64, "weight": np.float64, "half": np.int8}
+
+
+def _encoded(judged: DataFrame, known: set[str], shards: int, seed: int) -> DataFrame:
+    """One row of arrays for each of ``shards`` hash shards of the judged documents: their words as codes, in an order that the ids alone settle."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one shard
+        if sum(b.num_rows for b in held):
+            group = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+            code, kind, begin, owner = Reader(known).read(group["text"].to_pylist())
+            arrays = {"code": code, "kind": kind, "begin": begin, "owner": owner, "bad": group["bad"].to_numpy(), "weight": group["weight"].to_numpy(), "half": group["half"].to_numpy()}
+            blobs = [pa.array([np.ascontiguousarray(arrays[c], t).tobytes()], pa.binary()) for c, t in _TYPES.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([group["shard"][0].as_py()], pa.int32()), *blobs], names=["shard", *_TYPES])
+
+    h = F.xxhash64("doc_id", F.lit(seed))
+    rows = judged.select("doc_id", "text", "bad", "weight", h.alias("h"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"), (F.xxhash64("doc_id", F.lit(seed + 1)) % 2 == 0).cast("int").alias("half"))
+    return written(rows.repartitionById(shards, "shard").mapInArrow(encode, _SHARD), "shards")
+
+
+class _Shard:
+    """The arrays of one shard, with their features and what is said of its cues."""
+
+    def __init__(self, row: dict):
+        for c, kind in _TYPES.items():
+            setattr(self, c, np.frombuffer(row[c], kind))
+        self.feature = features(self.code, self.kind, self.begin)
+        self.size = np.diff(self.begin)
+        self.is_bad = self.bad[self.owner] > 0
+
+    def per_cue(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.begin[:-1]) / self.size
+
+    def grams(self) -> np.ndarray:
+        """[3, 2, features]: clean and bad documents that hold each word n-gram."""
+        out = np.zeros((len(GRAMS), 2, SIZE))
+        of_word = np.repeat(self.owner, self.size)
+        for i, column in enumerate(GRAMS):
+            held = np.unique(of_word << BITS | self.feature[:, column])
+            for b in (0, 1):
+                out[i, b] = np.bincount((held & (SIZE - 1))[self.bad[held >> BITS] == b], minlength=SIZE)
+        return out
+
+    def first_guess(self, counts: np.ndarray, share: float) -> np.ndarray:
+        """How likely each cue offends, by the mean log-odds of its word n-grams in the other judged documents (never its own).
 
+        A seed word adds to it as far as the n-grams are unknown to the clean ones among them.
+        """
+        own = np.repeat(self.bad[self.owner], self.size)
+        total, unknown = np.zeros(len(own)), np.zeros(len(own))
+        for (clean, bad), column in zip(counts, GRAMS):
+            gram = self.feature[:, column]
+            odds = np.log((bad[gram] - own + 2 * share) / (clean[gram] - (1 - own) + 2 * (1 - share)) * (1 - share) / share)
+            total += np.clip(odds, -2.0, 3.0) / len(GRAMS)
+            unknown += (clean[gram] - (1 - own) <= 0) / len(GRAMS)
+        listed = np.maximum.reduceat(np.where(self.kind < 4, self.kind, 0), self.begin[:-1]) > 0
+        guess = self.per_cue(total) + 0.7 * listed * self.per_cue(unknown)
+        return 1 / (1 + np.exp(-3 * (guess - 0.6)))
+
+    def cross_tagged(self, fields: list[Field]) -> np.ndarray:
+        """How likely each cue offends by the field that has not seen its half."""
+        by = [np.maximum.reduceat(f.tag(f.weight[self.feature].sum(1), self.begin), self.begin[:-1]) for f in fields]
+        return np.where(self.half[self.owner] > 0, by[1], by[0])
+
+    def labels(self, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cue offends, trust, cue is used): of a bad document its suspect cues, at least the top one; cues in doubt are left out."""
+        top = np.zeros(len(self.bad))
+        np.maximum.at(top, self.owner, likely)
+        chosen = self.is_bad & ((likely > 0.5) | (likely >= top[self.owner]) & (likely > 0.4))
+        unsure = self.is_bad & ~chosen & (likely > 0.2) | ~self.is_bad & (likely > 0.9)  # a rater may have overlooked it
+        return chosen.astype(float), np.where(chosen, 1.0, self.weight[self.owner]), ~unsure
+
+
+def _mean_of_holders(parts: np.ndarray) -> np.ndarray:
+    """Mixed (weights, squared gradients) of [shards, 2, features]: the mean over the shards whose documents hold the feature.
+
+    So a feature that a single shard has seen keeps that shard's weight.
+    """
+    weight, gained = parts[:, 0], parts[:, 1]
+    held = gained > 0
+    n = np.maximum(held.sum(0), 1)
+    return np.stack([np.where(held.any(0), (weight * held).sum(0) / n, weight[0]), gained.sum(0) / n])
+
+
+SLICES = 8  # stretches of the feature numbers that are summed in tasks of their own
+
+
+def fit_judged(judged: DataFrame, seed: int = 42, shard: int = 1000) -> Model:
+    """Field and known spellings from (doc_id, text, bad, weight): bad 1 or 0, weight the trust in the verdict.
+
+    Which cues of a bad document offend is settled without looking at that document's own labels: first by n-gram counts in the other
+    documents, then ``TURNS`` times by a field fitted to the other half of them. The documents lie in hash shards of about ``shard``; each task fits
+    the field to its shard, and the shards' weights are mixed, several times over. Rows may come in any order and
+    partitions: shards, order and halves follow from the ids.
+    """
+    sums = judged.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
+    n, share = sums.n, sums.bad / max(1, sums.n)
+    known = _spellings(judged, max(3, n // 400))
+    if not 0 < share < 1:
+        field = Field()
+        field.start[1] = field.step[0, 1] = -30.0  # nothing to learn from: no word offends
+        return field, known
+    encoded = _encoded(judged, known, max(1, round(n / shard)), seed)
+    context = judged.sparkSession.sparkContext
+
+    def reduced(make: Callable, reduce: Callable) -> dict[int, np.ndarray]:
+        """What ``reduce`` makes of the arrays [rows, features] that ``make`` gives for each shard, by key; slice by slice, in tasks, so the driver gets one array a key however many shards there are."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    s = _Shard(row)
+                    for key, rows in make(row["shard"], s) if len(s.owner) else ():
+                        cuts = [np.ascontiguousarray(x, np.float32).tobytes() for x in np.array_split(rows, SLICES, axis=1)]
+                        yield pa.RecordBatch.from_arrays([pa.array([x] * SLICES, pa.int32()) for x in (key, row["shard"], len(rows))] + [pa.array(range(SLICES), pa.int32()), pa.array(cuts, pa.binary())], names=["key", "shard", "n", "at", "data"])
+
+        def add(keys: tuple, group: pa.Table) -> pa.Table:
+            group = group.sort_by("shard")
+            n = group["n"][0].as_py()
+            total = reduce(keys[0].as_py(), np.stack([np.frombuffer(d, np.float32).astype(float).reshape(n, -1) for d in group["data"].to_pylist()]))
+            return pa.table({"key": pa.array([keys[0].as_py()], pa.int32()), "at": pa.array([keys[1].as_py()], pa.int32()), "n": pa.array([len(total)], pa.int32()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+        got = encoded.mapInArrow(run, "key int, shard int, n int, at int, data binary").groupBy("key", "at").applyInArrow(add, "key int, at int, n int, data binary").collect()
+        out: dict[int, list] = {}
+        for r in sorted(got, key=lambda r: (r.key, r.at)):
+            out.setdefault(r.key, []).append(np.frombuffer(r.data, np.float32).reshape(r.n, -1))
+        return {k: np.concatenate(x, axis=1) for k, x in out.items()}
+
+    counts = reduced(lambda _, s: [(0, s.grams().reshape(-1, SIZE))], lambda _, parts: parts.sum(0))[0].reshape(len(GRAMS), 2, SIZE)
+
+    def fitted(guide: object, bases: list[tuple[Field, np.ndarray]], turn: int, rounds: int) -> list[tuple[Field, np.ndarray]]:
+        """Fields fitted on from ``bases``: two, each to a half of the documents, or one to all."""
+        sent = context.broadcast((guide, [(f.weight.astype(np.float32), f.step, f.start, past.astype(np.float32)) for f, past in bases]))
+
+        def fit(number: int, s: _Shard) -> Iterator[tuple[int, np.ndarray]]:
+            told, starts = sent.value
+            likely = s.first_guess(told, share) if isinstance(told, np.ndarray) else s.cross_tagged(told)
+            chosen, trust, use = s.labels(likely)
+            for side, (weight, step, start, past) in enumerate(starts):
+                mine = use if len(starts) == 1 else use & (s.half[s.owner] == side)
+                field, total = Field(), past.astype(float)
+                field.weight, field.step, field.start = weight.astype(float), step.copy(), start.copy()
+                field.fit(s.feature, s.begin, np.flatnonzero(mine), chosen, trust, total, rounds, [seed, turn, number, side])
+                yield 2 * side, np.stack([field.weight, total - past])
+                n = float(mine.sum())
+                yield 2 * side + 1, n * np.concatenate([field.step.ravel(), field.start, [1.0, 0.0]])[None, :]  # a value for each slice
+
+        got = reduced(fit, lambda key, parts: parts.sum(0) if key % 2 else _mean_of_holders(parts))
+        out = []
+        for side, (field, past) in enumerate(bases):
+            mixed = Field()
+            weight, gained = got[2 * side].astype(float)
+            ends = got[2 * side + 1][0].astype(float)
+            if ends[6]:
+                mixed.step, mixed.start = (ends[:4] / ends[6]).reshape(2, 2), ends[4:6] / ends[6]
+            mixed.weight = weight
+            out.append((mixed, past + gained))
+        sent.unpersist()
+        return out
+
+    new = lambda: (Field(), np.full(SIZE, 0.1))
+    guide: object = counts
+    for turn in range(TURNS):
+        guide = [f for f, _ in fitted(guide, [new(), new()], turn, 3)]
+        guide = guide[::-1]  # a half is tagged by the field of the other: cross_tagged takes the second for half 1
+    last = [new()]
+    for part in range(2):
+        last = fitted(guide, last, TURNS + part, 3)
+    return last[0][0], known
 
-def fit_content(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42, longest: int = 60_000) -> tuple[Field, set[str]]:
-    """Fit on a bounded sample: ``most`` judged documents of ``longest`` characters, the documented bound of what reaches the driver. Only the fit is bounded; scoring is not."""
-    rows = judged_documents(documents, labels, most, seed, longest).toPandas()
-    return fit_field(rows["text"].tolist(), rows["bad"].to_numpy(float), rows["weight"].to_numpy(float), seed)
+
+def fit_content(documents: DataFrame, labels: DataFrame, most: int = 8000, seed: int = 42, longest: int = 60_000) -> Model:
+    """Fit on a bounded sample: ``most`` judged documents of ``longest`` characters, the documented bound. Only the fit is bounded; scoring is not."""
+    return fit_judged(written(judged_documents(documents, labels, most, seed, longest), "sample"), seed)
 
 
 SCORES = "score double, n_cues int, spans array<struct<start:int,end:int>>"
 
 
-def score_documents(documents: DataFrame, model: tuple[Field, set[str]], threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, n_cues, spans) for every row: the highest marginal of any word, the number of offending cues and their character ranges.
+def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, score, n_cues, spans) for every row: the highest marginal of any word, the number of offending cues and the character ranges of offending words.
 
     Every word of every text is tagged, where the rows lie, without a shuffle. Null, empty and wordless texts score 0. The model (a
-    table of 2^18 weights and the known spellings of a bounded sample) is broadcast. Ranges count characters of the text as it stands.
+    table of 2^18 weights and the known spellings of a bounded sample) is broadcast. A range is a run of offending words of one cue, in
+    characters of the text as it stands.
     """
     field, known = model
     data = documents.sparkSession.sparkContext.broadcast((field.weight.astype(np.float32), field.step, field.start, known))
-    key_type = documents.schema[key].dataType.simpleString()
-
-    def tagger() -> tuple[Reader, Field]:
-        weight, step, start, words = data.value
-        own = Field()
-        own.weight, own.step, own.start = weight, step, start
-        return Reader(words), own
+    rest = [key, *keep]
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = tagger()
+        own = Field()
+        own.weight, own.step, own.start, words = data.value
+        reader = Reader(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 n = part.num_rows
-                texts = part.column(1).to_pylist()
+                texts = part.column(0).to_pylist()
                 code, kind, begin, owner = reader.read(texts)
                 top, hits, spans = np.zeros(n), np.zeros(n, np.int32), [[] for _ in range(n)]
                 if len(owner):
-                    p = own.tag(features(code, kind, begin), begin)
+                    p = own.tag(own.emission(code, kind, begin), begin)
                     cue = np.maximum.reduceat(p, begin[:-1])
                     np.maximum.at(top, owner, cue)
                     first_word = begin[np.searchsorted(owner, np.arange(n))]
@@ -435,17 +279,17 @@ def score_documents(documents: DataFrame, model: tuple[Field, set[str]], thresho
                         o = int(owner[i])
                         if o not in places:
                             places[o] = reader.places(texts[o])
-                        words = np.flatnonzero(p[begin[i] : begin[i + 1]] >= threshold) + begin[i] - first_word[o]
+                        words_at = np.flatnonzero(p[begin[i] : begin[i + 1]] >= threshold) + begin[i] - first_word[o]
                         hits[o] += 1
-                        spans[o].append({"start": int(places[o][words[0], 0]), "end": int(places[o][words[-1], 1])})
-                kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(top), pa.array(hits), pa.array(spans, kinds)], names=[key, "score", "n_cues", "spans"])
+                        for run in np.split(words_at, np.flatnonzero(np.diff(words_at) > 1) + 1):
+                            spans[o].append({"start": int(places[o][run[0], 0]), "end": int(places[o][run[-1], 1])})
+                kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(top), pa.array(hits), pa.array(spans, kind_of)], names=[*rest, "score", "n_cues", "spans"])
 
-    return documents.select(key, text).mapInArrow(score, f"`{key}` {key_type}, {SCORES}")
+    return documents.select(text, *rest).mapInArrow(score, f"{kinds}, {SCORES}")
 
 
-def source_rates(documents: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(source, n_docs, n_flagged, rate) per source; documents without a source make a row of their own (source null)."""
-    joined = documents.select("doc_id", "source").join(scores.select("doc_id", "score"), "doc_id")
+def source_rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(source, n_docs, n_flagged, rate) per source of ``score_documents`` with its source kept; documents without a source make a row of their own (source null)."""
     flagged = F.count_if(F.col("score") >= threshold)
-    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("rate"))
+    return scores.groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("rate"))

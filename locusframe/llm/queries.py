@@ -69,9 +69,9 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed_documents(sized, mixing.length_plan(sized, weights))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
+def _scores(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
     documents = table(spark, d, "documents")
-    return content.score_documents(documents, content.fit_content(documents, table(spark, d, "doc_labels")))
+    return content.score_documents(documents, content.fit_content(documents, table(spark, d, "doc_labels")), keep=keep)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return content.source_rates(table(spark, d, "documents"), _scores(spark, d))
+    return content.source_rates(_scores(spark, d, keep=("source",)))
 
 
 QUERIES = {

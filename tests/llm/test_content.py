@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.llm import content as c
+from locusframe.llm.field import PART, Field
+from locusframe.llm.words import Reader
 
 BAD = ["You filthy {x}, nobody wants you here.", "I will burn your house, {n}.", "All {g} are vermin and should be wiped out.", "Suce ma bite, {n}.", "Du bist nichts als ein {x}, {n}!", "Go drown yourself, {n}."]
 GOOD = ["We paid nine crowns for the {o}.", "{n}, did you see the {o}?", "The {g} opened a bakery by the harbour.", "You filthy {o}, work at last!", "I will burn the toast, {n}.", "Der {o} steht am Hafen.", "This {o} is killing me.", "Où est {n} ?"]
@@ -26,10 +28,13 @@ def corpus(n, seed, noise=0.05):
     return out
 
 
+def judged(spark, docs, parts=3):
+    return spark.createDataFrame([(d[0], d[1], float(d[3]), 0.8) for d in docs], "doc_id long, text string, bad double, weight double").repartition(parts)
+
+
 @pytest.fixture(scope="module")
-def model():
-    docs = corpus(600, 1)
-    return c.fit_field([d[1] for d in docs], np.array([float(d[3]) for d in docs]), np.full(len(docs), 0.8))
+def model(spark):
+    return c.fit_judged(judged(spark, corpus(600, 1)), shard=300)
 
 
 def test_held_out_accuracy(spark, model):
@@ -41,17 +46,29 @@ def test_held_out_accuracy(spark, model):
     for d in docs:  # the ranges point at the offending cue
         if d[0] in found & truth:
             spans = [d[1][s.start : s.end] for s in got[d[0]].spans]
-            assert len(spans) == got[d[0]].n_cues and all("-->" not in s for s in spans)
+            assert len(spans) >= got[d[0]].n_cues and all("-->" not in s for s in spans)
+
+
+def test_the_order_of_rows_does_not_matter(spark):
+    docs = corpus(400, 5)
+    turned = docs[::-1]
+    random.Random(1).shuffle(turned)
+    models = [c.fit_judged(judged(spark, d, parts), shard=150) for d, parts in ((docs, 1), (turned, 5))]
+    assert models[0][1] == models[1][1] and (models[0][0].weight == models[1][0].weight).all()
+    assert (models[0][0].step == models[1][0].step).all() and np.abs(models[0][0].weight).sum() > 0
+    texts = spark.createDataFrame([d[:2] for d in corpus(100, 6)], "doc_id long, text string")
+    scores = [sorted(map(tuple, c.score_documents(texts.repartition(k), m).select("doc_id", "score", "n_cues").collect())) for k, m in ((1, models[0]), (4, models[1]))]
+    assert scores[0] == scores[1]
 
 
 def test_spellings(model):
-    reader = c.Reader(model[1])
+    reader = Reader(model[1])
     for raw, word in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("iddddiot", "idiot"), ("m***n", "moron"), ("ve*min", "vermin"), ("pgi", "pig"), ("іdіоt", "idiot"), ("id-iot", "idiot"), ("IDIOT", "idiot"), ("Ã©tÃ©", "été"), ("Óåçæàåì", "уезжаем")):
         assert reader.spelling(raw) == word
 
 
 def test_cues(model):
-    reader = c.Reader(model[1])
+    reader = Reader(model[1])
     text = "1\n00:00:01,000 --> 00:00:02,000\nYou <i>filthy</i>...\n\n2\n00:00:02,000 --> 00:00:03,000\n...idiot.\n\n3\n00:00:04,000 --> 00:00:05,000\nI&#39;d go. n a k e d"
     _, _, begin, owner = reader.read([text, None, "", "{1}{2}one|two\n{3}{4}three"])
     assert np.diff(begin).tolist() == [3, 3, 2, 1] and owner.tolist() == [0, 0, 3, 3]
@@ -60,7 +77,7 @@ def test_cues(model):
 
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(0)
-    f = c.Field()
+    f = Field()
     f.step, f.start = rng.normal(size=(2, 2)), rng.normal(size=2)
     score = rng.normal(size=(3, 5))
     size = np.array([5, 3, 1])
@@ -83,6 +100,50 @@ def test_marginals_against_enumeration():
     assert np.allclose(steps, want_steps) and np.allclose(first, want_first)
 
 
+def plain(f, score):
+    """Marginals of one sequence, word by word."""
+    step, n = np.exp(f.step), len(score)
+    a, b = np.zeros((n, 2)), np.ones((n, 2))
+    o = np.c_[np.ones(n), np.exp(score)]
+    for t in range(n):
+        a[t] = (np.exp(f.start) if t == 0 else a[t - 1] @ step) * o[t]
+        a[t] /= a[t].sum()
+    for t in range(n - 2, -1, -1):
+        b[t] = step @ (o[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    p = a * b
+    steps = np.zeros((2, 2))
+    for t in range(n - 1):
+        w = a[t][:, None] * step * (o[t + 1] * b[t + 1])[None, :]
+        steps += w / w.sum()
+    return p[:, 1] / p.sum(1), steps
+
+
+def test_long_cues_are_not_cut():
+    rng = np.random.default_rng(2)
+    f = Field()
+    f.step, f.start = np.array([[1.0, -1.5], [-1.0, 2.0]]), np.array([0.3, -0.4])
+    size = [5, PART, PART + 1, 3 * PART + 17, 1, 2 * PART, 1000]
+    begin = np.r_[0, np.cumsum(size)]
+    score = rng.normal(size=begin[-1]) * 2
+    want = [plain(f, score[a:b]) for a, b in zip(begin, begin[1:])]
+    assert np.allclose(f.tag(score, begin), np.concatenate([p for p, _ in want]))
+    got, first = np.zeros((2, 2)), np.zeros(2)
+    for _, at, n, link in f.blocks(begin, np.arange(len(size)), 4):
+        where, inside = f.padded(at, n)
+        _, steps, heads = f.marginals(np.where(inside, score[where], 0), n, link, gradient=True)
+        got, first = got + steps, first + heads
+    assert np.allclose(got, sum(s for _, s in want)) and np.allclose(first[1], sum(p[0] for p, _ in want))
+
+
+def test_times_leave_the_words_of_their_line(model):
+    reader = Reader(model[1])
+    for text in ("00:00:01,000 --> 00:00:02,000 You filthy moron\r00:00:03,000 --> 00:00:04,000\rHello", "00:01.0 --> 00:02.0 align:start line:0% You filthy moron\n1\n00:03.0-->00:04.0\nHello"):
+        _, _, begin, _ = reader.read([text])
+        assert np.diff(begin).tolist() == [3, 1]
+        assert [text[a:b] for a, b in reader.places(text)] == ["You", "filthy", "moron", "Hello"]
+
+
 def test_edges(spark, model):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "12 :: 5"), (5, "You filthy moron, nobody wants you here."), (5, "You filthy moron, nobody wants you here."), (None, "hello")], "doc_id long, text string")
     df = df.selectExpr("*", "'clash' as score", "1 as spans", "'s' as source")
@@ -90,8 +151,9 @@ def test_edges(spark, model):
     rows = got.collect()
     assert len(rows) == 7 and sorted(r.score for r in rows if r.doc_id in (1, 2, 3, 4)) == [0.0] * 4
     assert all(r.score > 0.5 and r.n_cues == 1 for r in rows if r.doc_id == 5)
+    assert set(got.columns) == {"doc_id", "score", "n_cues", "spans"}
     assert c.score_documents(df.limit(0), model).count() == 0
-    rates = c.source_rates(df.filter("doc_id < 5").withColumn("source", F.when(F.col("doc_id") > 2, "a")), got.filter("doc_id < 5"))
+    rates = c.source_rates(c.score_documents(df.filter("doc_id < 5").withColumn("source", F.when(F.col("doc_id") > 2, "a")), model, keep=("source",)))
     assert sorted(((r.source or "", r.n_docs, r.n_flagged, r.rate) for r in rates.collect())) == [("", 2, 0, 0.0), ("a", 2, 0, 0.0)]
 
 
@@ -109,6 +171,8 @@ def test_verdicts(spark):
     )
     got = {r.text: r.bad for r in c.judged_documents(docs, labels).collect()}
     assert got == {"text 0": 0.0, "text 3": 1.0}
-    assert c.judged_documents(docs, labels, most=1).count() <= 1
+    assert c.judged_documents(docs, labels, most=1).count() == 1
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == 0, F.repeat(F.lit("x "), 100)).otherwise(F.col("text")))
+    assert [r.text for r in c.judged_documents(longer, labels, most=1, longest=50).collect()] == ["text 3"]  # the length is looked at before the draw
     field, known = c.fit_content(docs, labels.limit(0))
     assert c.score_documents(docs, (field, known)).filter("score >= 0.5").count() == 0
