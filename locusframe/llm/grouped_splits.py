@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,52 +12,56 @@ from ..functions.keys import gene_key, split_key, variant_key
 from ..session import written
 
 
-def _coin(vertex: Column, seed: int, turn: int) -> Column:
-    """True for the vertices into which others may collapse in this round."""
-    return F.xxhash64(vertex, F.lit(seed), F.lit(turn)) % 2 == 0
-
-
 def components(edges: DataFrame, seed: int = 42, most_rounds: int = 200) -> DataFrame:
     """(vertex, component) for every vertex of ``edges`` (columns a, b); component is the least vertex of it.
 
-    Each round every vertex throws a coin; an edge between a tail and a head lets the tail collapse into its least
-    head neighbour (one min per tail, combined before the shuffle). Edges are renamed by two joins, loops and repeats vanish, until no
-    edge is left: O(log n) rounds expected, the edges shrink geometrically. Labels are unwound from the last round to the first,
-    each round's collapsed vertices taking the label of what they collapsed into. Every round is written to the
-    shared folder, so plans stay short and lost executors lose nothing. Loops, nulls and repeated edges are allowed;
-    a vertex that only has loops is a component of its own.
+    Each round every vertex throws a coin of 2^64 sides. Heads are the vertices whose throw is the lowest among their neighbours; a tail whose lowest
+    neighbour is a head collapses into it (one min per vertex, combined before the shuffle). With two sides a pair would wait until its coins differ, with
+    many it collapses at once, which takes a third of the rounds. Edges are renamed by two joins, loops and repeats vanish, until no
+    edge is left: O(log n) rounds expected, the edges shrink geometrically. A round writes one table to the shared folder, the old edges beside
+    the new: the next round reads the new ones, and what collapsed into what is read off both. So plans stay short and lost executors lose nothing.
+    A throw is a hash that travels with the vertex and is hashed again each round, so that every round is the same query.
+    Labels are unwound over the collapsed vertices of all rounds, each taking the label of what it collapsed into, by doubling: after k joins
+    a label lies 2^k rounds further on. Loops, nulls and repeated edges are allowed; a vertex that only has loops is a component of its own.
     """
     clean = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).filter("a is not null and b is not null")
-    clean = written(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    vertices = clean.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    live = clean.filter("a <> b")
+    start = written(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    coin = [F.xxhash64("a", F.lit(seed)).alias("ca"), F.xxhash64("b", F.lit(seed)).alias("cb")]
+    live = start.filter("a <> b").select("a", "b", *coin)
     collapsed: list[DataFrame] = []
-    for turn in range(most_rounds):
-        if live.isEmpty():
-            break
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        mates = written(
-            both.filter(~_coin(F.col("a"), seed, turn) & _coin(F.col("b"), seed, turn)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into")), "mates"
+    for _ in range(most_rounds):
+        ends = F.explode(F.array(F.struct(F.col("a"), F.col("ca"), F.col("b"), F.col("cb")), F.struct(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("a").alias("b"), F.col("ca").alias("cb"))))
+        lowest = live.select(ends.alias("e")).groupBy(F.col("e.a").alias("vertex")).agg(F.min("e.ca").alias("own"), F.min(F.struct("e.cb", "e.b")).alias("into"))
+        tails = lowest.filter(F.col("into") < F.struct("own", "vertex"))
+        mates = tails.join(tails.select(F.col("vertex").alias("__v")), F.col("into.b") == F.col("__v"), "left_anti").select("vertex", "into")
+        first = mates.select(F.col("vertex").alias("a"), F.col("into").alias("x"))
+        second = mates.select(F.col("vertex").alias("b"), F.col("into").alias("y"))
+        renamed = live.join(first, "a", "left").join(second, "b", "left").select(
+            "a", "b", F.coalesce("x.b", "a").alias("to_a"), F.coalesce("y.b", "b").alias("to_b"), F.coalesce("x.cb", "ca").alias("ca"), F.coalesce("y.cb", "cb").alias("cb")
         )
-        collapsed.append(mates)
-        first = mates.select(F.col("vertex").alias("a"), F.col("into").alias("into_a"))
-        second = mates.select(F.col("vertex").alias("b"), F.col("into").alias("into_b"))
-        renamed = live.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b"))
-        live = written(renamed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = Observation()
+        table = written(renamed.observe(left, F.count_if(F.col("to_a") != F.col("to_b")).alias("edges"), F.count("*").alias("all")), "round")
+        if not left.get["all"]:
+            break
+        collapsed.append(table)
+        if not left.get["edges"]:
+            break
+        swap = F.col("to_a") > F.col("to_b")
+        live = table.filter("to_a <> to_b").select(
+            F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"),
+            F.xxhash64(F.when(swap, F.col("cb")).otherwise(F.col("ca"))).alias("ca"), F.xxhash64(F.when(swap, F.col("ca")).otherwise(F.col("cb"))).alias("cb"),
+        ).distinct()
     else:
         raise RuntimeError(f"edges left after {most_rounds} rounds")
-    labels: DataFrame | None = None
-    for mates in reversed(collapsed):
-        if labels is None:
-            labels = mates.select("vertex", F.col("into").alias("root"))
-        else:
-            above = labels.select(F.col("vertex").alias("into"), "root")
-            now = mates.join(above, "into", "left").select("vertex", F.coalesce("root", "into").alias("root"))
-            labels = written(labels.unionByName(now), "labels")
-    if labels is None:
-        rooted = vertices.withColumn("root", F.col("vertex"))
-    else:
-        rooted = vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
+    vertices = start.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    if not collapsed:
+        return vertices.withColumn("component", F.col("vertex"))
+    moved = reduce(DataFrame.unionByName, [t.select(F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("to_a").alias("root")), F.struct(F.col("b").alias("vertex"), F.col("to_b").alias("root")))).alias("m")) for t in collapsed])
+    labels = written(moved.select("m.*").filter("vertex <> root").distinct(), "labels")
+    for _ in range((len(collapsed) - 1).bit_length()):
+        above = labels.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
+        labels = written(labels.join(above, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "labels")
+    rooted = vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
     least = rooted.groupBy("root").agg(F.min("vertex").alias("component"))
     return rooted.join(least, "root").select("vertex", "component")
 
@@ -95,9 +101,13 @@ def split_rows(gene_split: DataFrame) -> DataFrame:
 
 
 def gene_ties(rows: DataFrame) -> DataFrame:
-    """Edges between the genes under which one variant stands: each gene to the variant's first gene, never all pairs."""
-    rows = rows.select("variant_id", "gene_name").distinct()  # a variant delivered very often is one row per gene from here on
-    first = rows.groupBy("variant_id").agg(F.min("gene_name").alias("first"), F.max("gene_name").alias("last")).filter("first <> last").select("variant_id", "first")
+    """Edges between the genes under which one variant stands: each gene to the variant's first gene, never all pairs.
+
+    rows: distinct rows with variant_id and gene_name, so that a variant delivered very often is few of them. Only variants of several rows are looked at further.
+    """
+    several = rows.groupBy("variant_id").agg(F.count("*").alias("n")).filter("n > 1").select("variant_id")
+    rows = rows.select("variant_id", "gene_name").join(several, "variant_id", "left_semi")
+    first = rows.groupBy("variant_id").agg(F.min("gene_name").alias("first"))
     tied = rows.join(first, "variant_id").filter("gene_name <> first")
     return tied.select(F.col("first").alias("a"), F.col("gene_name").alias("b")).distinct()
 
@@ -111,10 +121,12 @@ def gene_groups(rows: DataFrame, seed: int = 42) -> DataFrame:
 def broken_groups(gene_split: DataFrame, seed: int = 42) -> DataFrame:
     """(group_gene, gene_name): the genes of every group whose rows show more than one split."""
     rows = written(split_rows(gene_split).distinct(), "rows")  # read several times below
-    groups = written(gene_groups(rows, seed), "groups")
+    tied = components(gene_ties(rows), seed).select(F.col("vertex").alias("gene_name"), F.col("component").alias("group_gene"))
     shown = rows.groupBy("gene_name").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-    broken = shown.join(groups, "gene_name").groupBy("group_gene").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
-    return groups.join(broken.select("group_gene"), "group_gene").select("group_gene", "gene_name")
+    genes = shown.join(tied, "gene_name", "left").select("gene_name", F.coalesce("group_gene", "gene_name").alias("group_gene"), "lo", "hi")
+    genes = written(genes, "groups")
+    broken = genes.groupBy("group_gene").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    return genes.join(broken.select("group_gene"), "group_gene", "left_semi").select("group_gene", "gene_name")
 
 
 def grouped_split(gene_split: DataFrame, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
