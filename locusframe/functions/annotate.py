@@ -22,6 +22,7 @@ SPLICE = (
     "splice_donor_variant", "splice_acceptor_variant", "splice_region_variant", "splice_donor_region_variant",
     "splice_polypyrimidine_tract_variant", "splice_donor_5th_base_variant",
 )
+# Labels that count as one of two.
 BINARY = {"pathogenic": "pathogenic", "likely_pathogenic": "pathogenic", "benign": "benign", "likely_benign": "benign"}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import FLOAT_EPS, cosine, dot
+from ..functions.vectors import FLOAT_EPS, cosine, rms_normalised, unified_difference
 
 VIEWS = ("var_same", "ref_same", "ref_cross")
 
@@ -17,11 +17,12 @@ def lowest_cosine(rows: DataFrame, keys: list[str], k: int, a: str = "var_same",
     return picked.withColumn("slot", F.row_number().over(W.partitionBy(*keys).orderBy("pos")) - 1).drop("__r")
 
 
-def select_positions(rows: DataFrame, ranges: DataFrame, keys: list[str], k: int, window: int = 0) -> DataFrame:
+def select_positions(rows: DataFrame, ranges: DataFrame, keys: list[str], k: int, window: int = 0, zeros: int | None = None) -> DataFrame:
     """``k`` slots per key: the first ``window`` positions of its range, then those of least similarity; slots beyond them are pads (pos -1).
 
     rows: (keys, pos, vectors); ranges: (keys, range_start, range_end). Order by (guaranteed first, cosine, pos) makes both parts one rank.
-    The result has a row for every slot 0..k-1 of every key of ``ranges``; pads have null vectors.
+    The result has a row for every slot 0..k-1 of every key of ``ranges``; pads have null vectors, or ``zeros`` zeros. Without a window these are the ``k`` positions of
+    least similarity of the range, padded.
     """
     inside = rows.join(ranges, keys).filter((F.col("pos") >= F.col("range_start")) & (F.col("pos") < F.col("range_end")))
     kept_first = F.when(F.col("pos") < F.col("range_start") + window, F.struct(F.lit(0).alias("g"), F.lit(0.0).alias("c"), "pos")).otherwise(
@@ -30,7 +31,11 @@ def select_positions(rows: DataFrame, ranges: DataFrame, keys: list[str], k: int
     picked = inside.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(kept_first))).filter(F.col("__r") <= k)
     slotted = picked.withColumn("slot", F.row_number().over(W.partitionBy(*keys).orderBy("pos")) - 1).drop("__r", "range_start", "range_end")
     slots = ranges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-    return slots.join(slotted, [*keys, "slot"], "left").withColumn("pos", F.coalesce("pos", F.lit(-1)))
+    padded = slots.join(slotted, [*keys, "slot"], "left")
+    if zeros is not None:
+        empty = F.array_repeat(F.lit(0.0).cast("float"), zeros)
+        padded = padded.withColumns({v: F.when(F.col("pos").isNull(), empty).otherwise(F.col(v)) for v in VIEWS if v in rows.columns})
+    return padded.withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
 def selection_ranges(variants: DataFrame, length: str, offset: str) -> DataFrame:
@@ -55,19 +60,16 @@ def genomic_positions(selected: DataFrame, variants: DataFrame, pos: str = "vari
 
 def mean_pooled(rows: DataFrame, keys: list[str], view: str, eps: float = FLOAT_EPS) -> DataFrame:
     """(keys, dim, mean): mean over positions of RMS-normalised vectors, one row per dimension (combined before the shuffle)."""
-    vector = F.col(view)
-    scale = F.sqrt(dot(vector, vector) / F.size(vector) + F.lit(eps))
-    spread = rows.select(*keys, scale.alias("__s"), F.posexplode(vector).alias("dim", "__x"))
-    return spread.groupBy(*keys, "dim").agg(F.avg(F.col("__x").cast("double") / F.col("__s")).alias("mean"))
+    spread = rows.select(*keys, F.posexplode(rms_normalised(F.col(view), eps)).alias("dim", "__x"))
+    return spread.groupBy(*keys, "dim").agg(F.avg("__x").alias("mean"))
 
 
 def unified_diff(selected: DataFrame) -> DataFrame:
     """(variant_id, slot, diff): variant less reference of the forward, then of the backward direction; pads count as zeros."""
     def part(direction: int, name: str) -> DataFrame:
-        diff = F.zip_with("var_same", "ref_same", lambda x, y: x - y)
-        return selected.filter(F.col("dir") == direction).select("variant_id", "slot", diff.alias(name))
+        return selected.filter(F.col("dir") == direction).select("variant_id", "slot", F.col("var_same").alias(f"{name}_var"), F.col("ref_same").alias(f"{name}_ref"))
 
-    both = part(0, "__f").join(part(1, "__b"), ["variant_id", "slot"], "full")
-    width = F.coalesce(F.size("__f"), F.size("__b"), F.lit(0))
-    zeros: Column = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(width, F.lit(0)))
-    return both.select("variant_id", "slot", F.concat(F.coalesce("__f", zeros), F.coalesce("__b", zeros)).alias("diff"))
+    both = part(0, "f").join(part(1, "b"), ["variant_id", "slot"], "full")
+    vectors = ["f_var", "f_ref", "b_var", "b_ref"]
+    zeros: Column = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(*[F.size(v) for v in vectors], F.lit(0)))
+    return both.select("variant_id", "slot", unified_difference(*[F.coalesce(v, zeros) for v in vectors]).alias("diff"))

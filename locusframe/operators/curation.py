@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,18 +56,24 @@ def inside_gene(variants: DataFrame, genes: DataFrame) -> DataFrame:
     return variants.join(g, "gene_name").filter((F.col("pos") >= F.col("start")) & (F.col("pos") + F.octet_length("ref") <= F.col("end")))
 
 
-def enrich(variants: DataFrame, genes: DataFrame, unique_on: str = "variant_id") -> DataFrame:
-    """Gene coordinates and strand-aware offset. A symbol with several genes: the least gene_id stays."""
+def enrich(variants: DataFrame, genes: DataFrame, unique_on: str = "variant_id", order: list[Column] | None = None) -> DataFrame:
+    """Gene coordinates and strand-aware offset. A symbol with several genes: the least gene_id stays.
+
+    order: the order of the input, which a table has only by its columns; the result then carries each row's 0-based ``position`` in it and comes out in that order.
+    """
+    if order is not None:
+        variants = with_position(variants, order)
     g = genes.select("gene_name", "gene_id", "start", "end", "strand", "length")
     joined = variants.drop("gene_id").join(g, "gene_name")
-    first = W.partitionBy(unique_on).orderBy("gene_id")
-    return (
+    first = W.partitionBy(unique_on).orderBy("gene_id" if order is None else F.struct("position", "gene_id"))
+    out = (
         joined.withColumn("gene_offset", seq.strand_offset(F.col("pos"), F.col("start"), F.col("end"), F.col("strand")))
         .withColumn("__r", F.row_number().over(first))
         .filter("__r = 1")
         .drop("__r")
         .withColumnsRenamed({"start": "gene_start", "end": "gene_end", "strand": "gene_strand", "length": "gene_length"})
     )
+    return out if order is None else out.orderBy("position")
 
 
 def binarised(variants: DataFrame) -> DataFrame:
@@ -137,10 +143,6 @@ def pilot(variants: DataFrame, genes: DataFrame, n: int = 8_000) -> DataFrame:
 
 def gene_holdout(variants: DataFrame, test_size: float = 0.2, seed: int = 42, gene: str = "gene_name") -> DataFrame:
     """Rows with split train or test; no gene in both. A seeded order of the distinct genes, the first share of them is test; rows without a gene are train."""
-    names = variants.select(gene).filter(F.col(gene).isNotNull()).distinct()
-    placed = shuffled(names, gene, seed)
-    n_test = names.agg(F.floor(F.count("*") * F.lit(test_size))).scalar()
-    held = placed.filter(F.col("position") < n_test).select(gene)
-    return variants.join(held, gene, "left_semi").withColumn("split", F.lit("test")).unionByName(
-        variants.join(held, gene, "left_anti").withColumn("split", F.lit("train"))
-    )
+    placed = shuffled(variants.select(gene).filter(F.col(gene).isNotNull()).distinct(), gene, seed)
+    held = placed.filter(F.col("position") < placed.agg(F.floor(F.count("*") * F.lit(test_size))).scalar()).select(gene, F.lit("test").alias("split"))
+    return variants.drop("split").join(held, gene, "left").withColumn("split", F.coalesce("split", F.lit("train"))).select(*[c for c in variants.columns if c != "split"], "split")

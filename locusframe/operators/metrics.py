@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,41 +18,61 @@ from .ordering import blocked_totals, join_null_safe, running_totals
 DRAWS = 1 << 14  # draws of one generated block
 
 
-def by_stratum(scored: DataFrame, consequence: str = "consequence") -> DataFrame:
-    """One row per row and stratum it belongs to."""
-    return scored.withColumn("stratum", F.explode(strata(F.col(consequence))))
+@dataclass(frozen=True)
+class Metric:
+    """A ranking metric as a sum over ranked rows.
+
+    gain: (label 1 or 0, positives up to and with the row, rank from 1) -> what the row adds, in plain arithmetic, since it serves columns and arrays.
+    value: (sum, positives, rows) -> the metric, as columns; NaN where it is not defined.
+    """
+
+    gain: Callable
+    value: Callable[[Column, Column, Column], Column]
 
 
 def _area(positives: Column, negatives: Column, above: Column) -> Column:
     return F.when(positives * negatives > 0, F.try_divide(above, (positives * negatives).cast("double"))).otherwise(F.lit(float("nan")))
 
 
-def ranked_metrics(rows: DataFrame, group: list[str], score: str, label: str, tie: str, least_positive: int = 0, least_negative: int = 0) -> DataFrame:
-    """(group, n_variants, n_pathogenic, n_benign, auroc, auprc) with ties broken by ``tie``.
+AUROC = Metric(lambda y, tp, rank: (1 - y) * tp, lambda total, p, n: _area(p, n - p, total))
+AVERAGE_PRECISION = Metric(lambda y, tp, rank: y * tp / rank, lambda total, p, n: F.when(p > 0, F.try_divide(total, p)).otherwise(0.0))
+METRICS = {"auroc": AUROC, "auprc": AVERAGE_PRECISION}
+
+
+def by_stratum(scored: DataFrame, consequence: str = "consequence", names: Column | None = None) -> DataFrame:
+    """One row per row and stratum it belongs to. names: an array of stratum names per row, by default those of its consequence."""
+    return scored.withColumn("stratum", F.explode(strata(F.col(consequence)) if names is None else names))
+
+
+def _clean(rows: DataFrame, group: list[str], score: str, label: str, tie: str) -> DataFrame:
+    return rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*group, score, tie, F.col(label).cast("bigint").alias("__y"))
+
+
+def ranked_metrics(
+    rows: DataFrame, group: list[str], score: str, label: str, tie: str, least_positive: int = 0, least_negative: int = 0, metrics: dict[str, Metric] = METRICS
+) -> DataFrame:
+    """(group, n_variants, n_pathogenic, n_benign, each of ``metrics``) with ties broken by ``tie``.
 
     label: 1 or 0. Ranks and running positives come from range partitions, so a group may hold all rows. AUROC is NaN without both classes, average
     precision 0 without positives; groups below the least counts are left out. Rows with a null score or label count nowhere.
     """
-    clean = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*group, score, tie, F.col(label).cast("bigint").alias("__y"))
-    run = running_totals(clean, group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1), "__tp": F.col("__y")})
-    above = F.sum(F.when(F.col("__y") == 0, F.col("__tp")).otherwise(0))
-    precision = F.sum(F.when(F.col("__y") == 1, F.col("__tp") / F.col("__rank")).otherwise(0.0))
-    totals = run.groupBy(*group).agg(F.count("*").alias("n_variants"), F.sum("__y").alias("n_pathogenic"), above.alias("__above"), precision.alias("__precision"))
-    benign = F.col("n_variants") - F.col("n_pathogenic")
-    kept = totals.filter((F.col("n_pathogenic") >= least_positive) & (benign >= least_negative))
-    return kept.select(
-        *group, "n_variants", "n_pathogenic", benign.alias("n_benign"), _area(F.col("n_pathogenic"), benign, F.col("__above")).alias("auroc"),
-        F.when(F.col("n_pathogenic") > 0, F.try_divide("__precision", "n_pathogenic")).otherwise(0.0).alias("auprc"),
-    )
-
-
-def stratified_metrics(scored: DataFrame, score: str = "score", label: str = "pathogenic", tie: str = "variant_id", least: int = 5) -> DataFrame:
-    return ranked_metrics(by_stratum(scored), ["stratum"], score, label, tie, least, least)
-
-
-def average_ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """(group, value, name): the mean rank of each distinct value, ascending; counts per value are summed first, so ties cost nothing."""
-    counts = rows.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    run = running_totals(_clean(rows, group, score, label, tie), group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1), "__tp": F.col("__y")})
+    gains = [F.sum(m.gain(F.col("__y"), F.col("__tp"), F.col("__rank")).cast("double")).alias(f"__g_{name}") for name, m in metrics.items()]
+    totals = run.groupBy(*group).agg(F.count("*").alias("n_variants"), F.sum("__y").alias("n_pathogenic"), *gains)
+    n, p = F.col("n_variants"), F.col("n_pathogenic")
+    kept = totals.filter((p >= least_positive) & (n - p >= least_negative))
+    return kept.select(*group, n, p, (n - p).alias("n_benign"), *[m.value(F.col(f"__g_{name}"), p, n).alias(name) for name, m in metrics.items()])
+
+
+def stratified_metrics(
+    scored: DataFrame, score: str = "score", label: str = "pathogenic", tie: str = "variant_id", least: int = 5, names: Column | None = None, metrics: dict[str, Metric] = METRICS
+) -> DataFrame:
+    return ranked_metrics(by_stratum(scored, names=names), ["stratum"], score, label, tie, least, least, metrics)
+
+
+def average_ranks(rows: DataFrame, group: list[str], value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """(group, value, name): the mean rank of each distinct value, ascending; counts per value are summed first, so ties cost nothing. weight: rows a row stands for."""
+    counts = rows.groupBy(*group, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n"))
     run = running_totals(counts, group, [F.col(value).asc()], {"__upto": F.col("__n")})
     return run.select(*group, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
 
@@ -69,9 +90,9 @@ def tied_auroc(rows: DataFrame, group: list[str], score: str, label: str) -> Dat
 def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     """(group, spearman): correlation of average ranks over rows that have both values."""
     clean = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b)
-    pairs = clean.groupBy(*group, a, b).agg(F.count("*").alias("__w"))  # equal pairs once, weighted
-    ranked = join_null_safe(pairs, average_ranks(clean, group, a, "__ra"), [*group, a])
-    ranked = join_null_safe(ranked, average_ranks(clean, group, b, "__rb"), [*group, b])
+    pairs = written(clean.groupBy(*group, a, b).agg(F.count("*").alias("__w")), "pairs")  # equal pairs once, weighted; read three times
+    ranked = join_null_safe(pairs, average_ranks(pairs, group, a, "__ra", F.col("__w")), [*group, a])
+    ranked = join_null_safe(ranked, average_ranks(pairs, group, b, "__rb", F.col("__w")), [*group, b])
     w, x, y = F.col("__w"), F.col("__ra"), F.col("__rb")
     s = ranked.groupBy(*group).agg(
         F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy")
@@ -106,7 +127,7 @@ def bootstrap_intervals(
     Rows are ranked once; a replicate is a weight per rank, never a copy of the rows. Within a replicate the copies of a row stand together. Replicates without
     both classes give no AUROC; without any the bounds are NaN. Groups with fewer than ``least`` of a class are left out.
     """
-    clean = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*group, score, tie, F.col(label).cast("bigint").alias("__y"))
+    clean = _clean(rows, group, score, label, tie)
     ranked = running_totals(clean, group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)}).select(*group, "__y", (F.col("__rank") - 1).alias("position"))
     sizes = clean.groupBy(*group).agg(F.count("*").alias("n"), F.sum("__y").alias("__p")).filter((F.col("__p") >= least) & (F.col("n") - F.col("__p") >= least)).drop("__p")
     drawn = join_null_safe(bootstrap_draws(sizes, group, replicates, seed), ranked, [*group, "position"])
@@ -116,15 +137,14 @@ def bootstrap_intervals(
     first_k, first_tp = F.col("__k") - F.col("times"), F.col("__tp") - F.col("times")
     copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("times")), lambda i: (first_tp + i) / (first_k + i))
     precision = F.sum(F.when(F.col("__y") == 1, F.aggregate(copies, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0))
-    each = run.groupBy(*group, "b").agg(F.sum("times").alias("__n"), F.sum(F.col("times") * F.col("__y")).alias("__p"), above.alias("__above"), precision.alias("__precision"))
-    return _percentiles(each, group, alpha)
+    each = run.groupBy(*group, "b").agg(F.sum("times").alias("__n"), F.sum(F.col("times") * F.col("__y")).alias("__p"), above.cast("double").alias("__g_auroc"), precision.alias("__g_auprc"))
+    return _percentiles(each, group, alpha, METRICS)
 
 
-def _percentiles(each: DataFrame, group: list[str], alpha: float) -> DataFrame:
-    """Bounds from the sums of each replicate: (group, b, __n, __p, __above, __precision)."""
-    area = _area(F.col("__p"), F.col("__n") - F.col("__p"), F.col("__above"))
-    values = each.select(*group, F.when(~F.isnan(area), area).alias("auroc"), F.when(F.col("__p") > 0, F.try_divide("__precision", "__p")).otherwise(0.0).alias("auprc"))
-    bounds = [(m, side, q) for m in ("auroc", "auprc") for side, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))]
+def _percentiles(each: DataFrame, group: list[str], alpha: float, metrics: dict[str, Metric]) -> DataFrame:
+    """Bounds from the sums of each replicate: (group, b, __n, __p, a sum per metric); replicates in which a metric is NaN do not count for it."""
+    values = each.select(*group, *[F.nanvl(m.value(F.col(f"__g_{name}"), F.col("__p"), F.col("__n")), F.lit(None).cast("double")).alias(name) for name, m in metrics.items()])
+    bounds = [(m, side, q) for m in metrics for side, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))]
     return values.groupBy(*group).agg(*[F.coalesce(F.percentile(m, F.lit(q)), F.lit(float("nan"))).alias(f"{m}_ci_{side}") for m, side, q in bounds])
 
 
@@ -165,15 +185,15 @@ def block_weights(key: tuple, positives: np.ndarray, negatives: np.ndarray, bloc
 
 
 def blocked_bootstrap_intervals(
-    rows: DataFrame, group: list[str], score: str, label: str, tie: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, least: int = 5, size: int = DRAWS
-) -> DataFrame:
+    rows: DataFrame, group: list[str], score: str, label: str, tie: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, least: int = 5, size: int = DRAWS,
+    metrics: dict[str, Metric] = METRICS,
+) -> DataFrame:
     """``bootstrap_intervals`` whose draws are weights per block of ``size`` ranked rows, made inside the task that holds the block: no draw is shuffled.
 
     How many draws fall on a block and before it follows from the seed and the class counts of the blocks, of which the driver reads one row a block. A block
-    gives four sums a replicate.
+    gives two counts and a sum per metric for each replicate.
     """
-    clean = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*group, score, tie, F.col(label).cast("bigint").alias("__y"))
-    ranked = running_totals(clean, group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)})
+    ranked = running_totals(_clean(rows, group, score, label, tie), group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)})
     ranked = written(ranked.select(*group, "__y", (F.col("__rank") - 1).alias("__at")).withColumn("__block", F.floor(F.col("__at") / size)), "ranked")
     found: dict[tuple, list] = {}
     counts = ranked.groupBy(*group, "__block").agg(F.sum("__y").alias("p"), F.count("*").alias("n"))
@@ -184,34 +204,34 @@ def blocked_bootstrap_intervals(
         _, p, n = zip(*sorted(blocks))
         if sum(p) >= least and sum(n) >= least:
             before[key] = np.cumsum((0, *p)), np.cumsum((0, *n))
-    sums = ["b", "__n", "__p", "__above", "__precision"]
-    schema = ", ".join([*(f"`{g}` {ranked.schema[g].dataType.simpleString()}" for g in group), "b int, __n bigint, __p bigint, __above double, __precision double"])
+    sums = ["__n", "__p", *[f"__g_{name}" for name in metrics]]
+    schema = ", ".join([*(f"`{g}` {ranked.schema[g].dataType.simpleString()}" for g in group), "b int, __n bigint, __p bigint", *(f"`{c}` double" for c in sums[2:])])
 
     def measure(keys: tuple, block: pa.Table) -> pa.Table:
         *key, at = (k.as_py() for k in keys)
-        out = np.zeros((4, replicates))
+        out = np.zeros((len(sums), replicates))
         if tuple(key) in before:
             y = block.sort_by("__at")["__y"].to_numpy()
-            is_p = y == 1
-            p_before, n_before = np.cumsum(is_p)[~is_p], np.cumsum(~is_p)[is_p]  # of a negative, and of a positive
+            is_p, w = y == 1, np.zeros(len(y), np.int64)
             for b, (p0, n0, wp, wn) in enumerate(block_weights(tuple(key), *before[tuple(key)], at, replicates, seed)):
-                upto_p, upto_n = np.r_[0, np.cumsum(wp)], np.r_[0, np.cumsum(wn)]
-                tp = p0 + np.arange(1, upto_p[-1] + 1)  # the copies of positives in order
-                precision = (tp / (tp + np.repeat(n0 + upto_n[n_before], wp))).sum()
-                out[:, b] = upto_p[-1] + upto_n[-1], upto_p[-1], wn @ (p0 + upto_p[p_before]), precision
+                w[is_p], w[~is_p] = wp, wn
+                copies = np.repeat(y, w)  # of a row stand together
+                tp, rank = p0 + np.cumsum(copies), p0 + n0 + np.arange(1, len(copies) + 1)
+                out[:, b] = len(copies), copies.sum(), *[m.gain(copies, tp, rank).sum() for m in metrics.values()]
         filled = {g: pa.array([k] * replicates, block.schema.field(g).type) for g, k in zip(group, key)}
-        values = [np.arange(replicates, dtype=np.int32), out[0].astype(np.int64), out[1].astype(np.int64), out[2], out[3]]
-        return pa.table(filled | dict(zip(sums, map(pa.array, values)))).slice(0, replicates if tuple(key) in before else 0)
+        values = [np.arange(replicates, dtype=np.int32), out[0].astype(np.int64), out[1].astype(np.int64), *out[2:]]
+        return pa.table(filled | dict(zip(["b", *sums], map(pa.array, values)))).slice(0, replicates if tuple(key) in before else 0)
 
     parts = ranked.groupBy(*group, "__block").applyInArrow(measure, schema)
-    each = parts.groupBy(*group, "b").agg(*[F.sum(c).alias(c) for c in sums[1:]])
-    return _percentiles(each, group, alpha)
+    each = parts.groupBy(*group, "b").agg(*[F.sum(c).alias(c) for c in sums])
+    return _percentiles(each, group, alpha, metrics)
 
 
 def measured_variants(scores: DataFrame, manifest: DataFrame, label: str, continuous: str | None = None) -> DataFrame:
     """(n, n_pathogenic, auroc[, spearman]) of scores against measured labels, 6 decimals. The manifest may have its own ``score``."""
-    joined = scores.withColumnRenamed("score", "probe_score").join(manifest, "variant_id").withColumn("__all", F.lit(1))
-    out = tied_auroc(joined, ["__all"], "probe_score", label).withColumn("auroc", F.round("auroc", 6))
-    if continuous and continuous in manifest.columns:
-        out = out.join(spearman(joined, ["__all"], "probe_score", continuous).withColumn("spearman", F.round("spearman", 6)), "__all")
-    return out.drop("__all")
+    joined = scores.withColumnRenamed("score", "probe_score").join(manifest, "variant_id")
+    measured = continuous if continuous and continuous in manifest.columns else None
+    used = list(dict.fromkeys(["probe_score", label, *([measured] if measured else [])]))
+    joined = written(joined.select(*used), "measured")  # read for both metrics
+    out = tied_auroc(joined, [], "probe_score", label).withColumn("auroc", F.round("auroc", 6))
+    return out.withColumn("spearman", F.round(spearman(joined, [], "probe_score", measured).scalar(), 6)) if measured else out

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import FLOAT_EPS
+
 #: (sequence) -> (activations [length, d], loss [length - 1])
 Model = Callable[[str], tuple[np.ndarray, np.ndarray]]
 
@@ -70,37 +72,87 @@ def _cosines(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     return dot(a, b) / (np.maximum(np.sqrt(dot(a, a)), eps) * np.maximum(np.sqrt(dot(b, b)), eps))
 
 
-def selected_positions(windows: DataFrame, model: Model, k: int = 256, window: int = 64) -> DataFrame:
-    """(variant_id, dir, slot, pos): ``activations.select_positions`` over ``run_model``, made where the model runs, so that no position is shuffled.
+def _pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, k: int, sure: int) -> np.ndarray:
+    """``k`` positions of start..end: the first ``sure``, then those of least similarity, in ascending order; -1 beyond them."""
+    first = min(start + sure, end, start + k)
+    order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - (first - start)] if end > start else np.empty(0, np.int64)
+    found = np.sort(np.r_[np.arange(start, max(first, start)), first + order]).astype(np.int64)
+    return np.r_[found, np.full(k - len(found), -1, np.int64)]
+
+
+def _mean_normalised(x: np.ndarray, eps: float = FLOAT_EPS) -> list[float]:
+    """Mean over positions of RMS-normalised vectors."""
+    x = x.astype(np.float64)
+    return (x / np.sqrt((x * x).mean(1, keepdims=True) + eps)).mean(0).tolist() if len(x) else [0.0] * x.shape[1]
+
+
+HARVEST = (
+    "variant_id string, dir int, slot int, pos bigint, var_same array<float>, ref_same array<float>, ref_cross array<float>, loss float, "
+    "mean array<array<double>>, error string"
+)
+
 
-    windows: (variant_id, ref, alt, offset, ref_window, var_window). Forward behind the variant, its first ``window`` positions guaranteed; backward before
-    it, none guaranteed; slots without a position have pos -1. Variants without var_window give no rows.
+def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64, vectors: bool = True) -> DataFrame:
+    """Everything kept of a model's passes, made in the task that runs the model: nothing is shuffled and no position leaves it but the selected ones.
+
+    windows: (variant_id, pos, ref, alt, offset, ref_window, var_window); rows without a var_window are left out. For each row and direction there are ``k``
+    slots: forward behind the variant, its first ``window`` positions guaranteed; backward before it, none guaranteed; the rest of least similarity. A slot has its
+    position on the chromosome, the vectors of three views there (variant, reference, reference of the other strand) and the loss of the variant less that of the
+    reference (0 where one has none); beyond the positions it is a pad (pos -1, null vectors). Slot -1 holds the mean: for each view the mean of the RMS-normalised
+    vectors over the shared length, in the backward direction with the roles of the strands swapped. A row whose model fails gives one row with the ``error`` and
+    nothing else; lack of memory and interrupts end the task. One window pair is in memory at a time.
     """
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float32())] * 3, pa.float32(), pa.list_(pa.list_(pa.float64())), pa.string()]
+    names = [f.split()[0] for f in HARVEST.split(", ")]
+
+    def batch(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) if not isinstance(c, pa.Array) else c for c, t in zip(columns, types)], names=names)
 
-    def pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, sure: int) -> np.ndarray:
-        first = min(start + sure, end, start + k)
-        order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - (first - start)] if end > start else np.empty(0, np.int64)
-        found = np.sort(np.r_[np.arange(start, max(first, start)), first + order]).astype(np.int64)
-        return np.r_[found, np.full(k - len(found), -1, np.int64)]
+    def rows_of(x: np.ndarray, pos: np.ndarray) -> pa.Array:
+        if not vectors:
+            return pa.nulls(k, types[4])
+        real = int((pos >= 0).sum())  # pads stand last
+        d = x.shape[1]
+        offsets = pa.array(np.r_[np.arange(real + 1) * d, np.full(k - real, real * d)].astype(np.int32), mask=np.r_[np.zeros(real, bool), np.ones(k - real, bool), False])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x[pos[:real]], np.float32).ravel()))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256).to_pylist()
-                pos = []
-                for r in rows:
-                    rf, rb, _, _ = both_directions(model, r["ref_window"])
-                    vf, vb, _, _ = both_directions(model, r["var_window"])
-                    shared, o = min(len(rf), len(vf)), r["offset"]
-                    pos.append(pick(vf, rf, o + max(len(r["ref"]), len(r["alt"])), shared, window))
-                    pos.append(pick(vb[:shared], rb[:shared], 0, o, 0))
-                ids = pa.array([r["variant_id"] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), 2 * k)))
-                dirs = pa.array(np.tile(np.repeat(np.array([0, 1], np.int32), k), len(rows)))
-                slots = pa.array(np.tile(np.arange(k, dtype=np.int32), 2 * len(rows)))
-                yield pa.RecordBatch.from_arrays([ids, dirs, slots, pa.array(np.concatenate(pos))], ["variant_id", "dir", "slot", "pos"])
-
-    usable = windows.filter("var_window is not null").select("variant_id", "ref", "alt", "offset", "ref_window", "var_window")
-    return usable.mapInArrow(infer, "variant_id string, dir int, slot int, pos bigint")
+            for at in range(whole.num_rows):
+                r = whole.slice(at, 1).to_pylist()[0]
+                try:
+                    rf, rb, rfl, rbl = both_directions(model, r["ref_window"])
+                    vf, vb, vfl, vbl = both_directions(model, r["var_window"])
+                except (MemoryError, KeyboardInterrupt):
+                    raise
+                except Exception as error:  # noqa: BLE001 - whatever a model may raise is reported, and the others go on
+                    yield batch([[r["variant_id"]], *[[None]] * 8, [f"{type(error).__name__}: {error}"]])
+                    continue
+                shared, o = min(len(rf), len(vf)), r["offset"]
+                behind = o + max(len(r["ref"]), len(r["alt"]))
+                for turn, var, same, cross, vl, rl, start, end, sure in ((0, vf, rf, rb, vfl, rfl, behind, shared, window), (1, vb[:shared], rb[:shared], rf, vbl, rbl, 0, o, 0)):
+                    pos = _pick(var, same, start, end, k, sure)
+                    both = (pos >= 0) & (pos < min(len(vl), len(rl)))
+                    loss = np.zeros(k, np.float32)
+                    loss[both] = vl[pos[both]] - rl[pos[both]]
+                    yield batch([
+                        [r["variant_id"]] * k, np.full(k, turn, np.int32), np.arange(k, dtype=np.int32), np.where(pos >= 0, pos + r["pos"] - o, -1),
+                        *[rows_of(x, pos) for x in (var, same, cross)], loss, pa.nulls(k, types[8]), pa.nulls(k, pa.string()),
+                    ])
+                    means = [_mean_normalised(x[:shared]) for x in (var, same, cross)]
+                    yield batch([[r["variant_id"]], [turn], [-1], *[[None]] * 5, [means], [None]])
+
+    usable = windows.filter("var_window is not null").select("variant_id", "pos", "ref", "alt", "offset", "ref_window", "var_window")
+    return usable.mapInArrow(infer, HARVEST)
+
+
+def selected_positions(windows: DataFrame, model: Model, k: int = 256, window: int = 64) -> DataFrame:
+    """(variant_id, dir, slot, pos): ``activations.select_positions`` over ``run_model``, made where the model runs; positions count within the window.
+
+    windows: (variant_id, ref, alt, offset, ref_window, var_window). Variants without var_window give no rows.
+    """
+    placed = windows.withColumn("pos", F.col("offset").cast("bigint"))  # so that the window starts at 0
+    return harvested(placed, model, k, window, vectors=False).filter("slot >= 0").select("variant_id", "dir", "slot", "pos")
 
 
 def projection(d_in: int, d_hidden: int, seed: int = 42) -> np.ndarray:

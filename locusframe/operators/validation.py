@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .ordering import with_position
@@ -43,7 +43,24 @@ def unequal_counts(tables: dict[str, DataFrame], key: str) -> DataFrame:
     for name, df in tables.items():
         one = df.agg(F.count_distinct(key).alias("n_items")).select(F.lit(name).alias("dataset"), "n_items")
         counts = one if counts is None else counts.unionByName(one)
-    return counts.filter(counts.agg(F.max("n_items") != F.min("n_items")).scalar())
+    differ = counts.agg(F.max("n_items") != F.min("n_items"), F.collect_list(F.struct("dataset", "n_items")))
+    return differ.toDF("__differ", "__c").filter("__differ").select(F.explode("__c").alias("c")).select("c.*")  # one row a dataset
+
+
+def dropped_counts(steps: dict[str, Observation]) -> dict[str, tuple[int, int]]:
+    """(rows in, rows dropped) of each step, in order, from the counts of ``counted`` rows; known once a result has been written or read.
+
+    A step's rows out are the next step's rows in, so the last entry is the count of what came out.
+    """
+    n = {name: o.get["n"] for name, o in steps.items()}
+    names = list(n)
+    return {a: (n[a], n[a] - n[b]) for a, b in zip(names, names[1:])} | {names[-1]: (n[names[-1]], 0)}
+
+
+def counted(df: DataFrame, name: str, steps: dict[str, Observation]) -> DataFrame:
+    """``df`` as it is; its rows are counted as they pass, without a job of their own, into ``steps[name]``."""
+    steps[name] = Observation(name)
+    return df.observe(steps[name], F.count("*").alias("n"))
 
 
 def id_mismatch(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

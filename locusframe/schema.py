@@ -1,9 +1,7 @@
-"""Column sets and Spark types of the data model."""
+"""Column sets of the data model."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Chromosome names and the columns of the published tables.
 CHROMOSOMES = (*map(str, range(1, 23)), "X", "Y", "M")
 
@@ -11,18 +9,3 @@ VARIANT_COLUMNS = (
     "chrom", "pos", "ref", "alt", "variant_type", "variant_id", "gene_name",
     "label", "clinical_significance", "stars", "consequence", "allele_id", "disease_name", "rs_id",
 )
-GENE_COLUMNS = ("gene_id", "gene_name", "chrom", "start", "end", "strand", "length", "hgnc_id", "level")
-
-MANIFEST = T.StructType(
-    [T.StructField(n, t) for n, t in (("variant_id", T.StringType()), ("chrom", T.StringType()), ("pos", T.LongType()), ("ref", T.StringType()), ("alt", T.StringType()), ("label", T.StringType()))]
-)
-ACTIVATIONS = T.StructType(
-    [
-        T.StructField("variant_id", T.StringType()),
-        T.StructField("dir", T.IntegerType()),
-        T.StructField("slot", T.IntegerType()),
-        T.StructField("pos", T.LongType()),
-        *[T.StructField(v, T.ArrayType(T.FloatType())) for v in ("var_same", "ref_same", "ref_cross")],
-        T.StructField("loss", T.FloatType()),
-    ]
-)

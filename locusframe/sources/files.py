@@ -6,12 +6,11 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotate import bare_chrom
-from ..schema import MANIFEST
+from ..session import exists
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -26,7 +25,7 @@ def harvest_manifest(df: DataFrame) -> DataFrame:
         if old in df.columns and new not in df.columns:
             df = df.withColumnRenamed(old, new)
     text = dict(df.dtypes)["label"] == "string"
-    number = F.expr("try_cast(label as int)") if text else F.col("label").cast("int")
+    number = F.expr("cast(try_cast(label as double) as int)") if text else F.col("label").cast("int")
     label = F.when(number.isNotNull(), number).otherwise(F.when(F.col("label") == "pathogenic", 1).otherwise(0)) if text else number
     return df.select("variant_id", bare_chrom(F.col("chrom")).alias("chrom"), F.col("pos").cast("bigint").alias("pos"), "ref", "alt", label.alias("label"))
 
@@ -42,18 +41,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """(variant_id): one id per non-blank line; a missing file holds none."""
-    try:
-        lines = spark.read.text(path)
-        lines.schema  # noqa: B018
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([], "variant_id string")
-    return lines.select(F.trim("value").alias("variant_id")).filter("variant_id <> ''")
+    return spark.read.text(path).select(F.trim("value").alias("variant_id")).filter("variant_id <> ''")
 
 
-def read_shards(spark: SparkSession, folder: str, pattern: str = r"scores_shard_(\d+)") -> DataFrame:
-    """All shard files under ``folder`` with their ``shard`` number."""
+def shard_name(shard: int, of: str = "scores_shard") -> str:
+    return f"{of}_{shard}"
+
+
+def read_shards(spark: SparkSession, folder: str, pattern: str = r"shard[_=](\d+)") -> DataFrame:
+    """All shard files under ``folder`` with their ``shard`` number, which stands in their path: scores_shard_3 or shard=3. Without a number it is null."""
     df = spark.read.option("recursiveFileLookup", "true").parquet(folder)
-    return df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int"))
+    return df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int"))
 
 
 def read_vectors(spark: SparkSession, path: str, ids: DataFrame | None = None, key: str = "variant_id") -> DataFrame:
@@ -85,11 +85,8 @@ def write_config(config: dict, path: str) -> None:
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None, refresh: bool = False) -> DataFrame:
     """The table at ``path``, built and written first where it is missing or ``refresh`` is set."""
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    if not refresh and exists(spark, f"{path}/_SUCCESS"):  # written to the end
+        return spark.read.parquet(path)
     if build is None:
         raise FileNotFoundError(f"no table at {path} and nothing to build it from")
     build().write.mode("overwrite").parquet(path)
@@ -99,10 +96,6 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
     """Append the rows whose ``key`` the table at ``path`` does not hold yet, and return what was missing before."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-        todo = df.join(done, key, "left_anti")
-    except AnalysisException:
-        todo = df
+    todo = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if exists(spark, path) else df
     todo.write.mode("append").parquet(path)
     return todo

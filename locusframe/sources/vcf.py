@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import annotate
+from ..operators.validation import counted
 
 
 def info_value(info: Column, key: str) -> Column:
@@ -39,19 +40,22 @@ def parse_info(rows: DataFrame, info: str = "info") -> DataFrame:
     return parsed.drop(*[f"__{k}" for k in _KEYS])
 
 
-def parse_calls(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Variants from VCF lines: first ALT allele, 0-based position, gene required, equal-length multi-base changes left out."""
+def parse_calls(lines: DataFrame, value: str = "value", steps: dict[str, Observation] | None = None) -> DataFrame:
+    """Variants from VCF lines: first ALT allele, 0-based position, gene required, equal-length multi-base changes left out. steps: takes counts of what each filter let pass."""
+    seen = (lambda df, name: df) if steps is None else (lambda df, name: counted(df, name, steps))
     fields = F.split(F.col(value), "\t")
     raw = lines.filter(~F.col(value).startswith("#") & (F.size(fields) >= 8)).select(
         annotate.prefixed_chrom(fields[0]).alias("chrom"), (fields[1].cast("bigint") - 1).alias("pos"),
         fields[3].alias("ref"), F.substring_index(fields[4], ",", 1).alias("alt"), fields[7].alias("info"),
     )
-    usable = raw.filter((F.col("alt") != ".") & (F.col("alt") != "") & info_value(F.col("info"), "GENEINFO").contains(":"))
-    typed = usable.withColumn("variant_type", annotate.variant_type(F.col("ref"), F.col("alt"))).filter("variant_type is not null")
-    return parse_info(typed).drop("info")
+    typed = seen(raw, "lines").withColumn("variant_type", annotate.variant_type(F.col("ref"), F.col("alt")))
+    simple = seen(typed.filter((F.col("alt") != ".") & (F.col("alt") != "") & F.col("variant_type").isNotNull()), "simple changes")
+    return seen(parse_info(simple.filter(info_value(F.col("info"), "GENEINFO").contains(":"))).drop("info"), "with a gene")
 
 
-def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """A compressed file is one stream; it is spread over ``partitions`` (default: the shuffle partitions) right after reading."""
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parse_calls(spark.read.text(path).repartition(n))
+def read_vcf(spark: SparkSession, path: str, partitions: int | None = None, steps: dict[str, Observation] | None = None) -> DataFrame:
+    """Calls of a VCF file or folder. A gzip file is one stream; it is spread over ``partitions`` (default: the shuffle partitions) right after reading. Plain text is read in splits as it lies."""
+    lines = spark.read.text(path)
+    if any(f.endswith((".gz", ".bgz")) for f in lines.inputFiles()):
+        lines = lines.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parse_calls(lines, steps=steps)

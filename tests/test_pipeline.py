@@ -34,9 +34,10 @@ def test_from_files_to_metrics(spark, tmp_path):
     with pytest.raises(ValueError):
         pipeline.preset_metadata(spark, "other", variants, table, out)
     manifest = meta.withColumn("chrom", F.regexp_replace("chrom", "^chr", "")).select("variant_id", "chrom", "pos", "ref", "alt")
-    selected, wrong = pipeline.harvest(manifest, tiled, probe.hashed_model(4), k=6, window=2, upstream=30, downstream=12, size=512)
+    selected, means, wrong, failed = pipeline.harvest(manifest, tiled, probe.hashed_model(4), k=6, window=2, upstream=30, downstream=12, size=512)
     selected = selected.cache()
-    assert wrong.count() == 0 and selected.count() == manifest.count() * 12
+    assert wrong.count() == 0 and failed.count() == 0 and selected.count() == manifest.count() * 12
+    assert means.count() == manifest.count() * 6 and {r.view for r in means.collect()} == {"var_same", "ref_same", "ref_cross"}
     assert selected.filter("dir = 0 and pos >= 0").join(manifest.select("variant_id", F.col("pos").alias("v")), "variant_id").filter("pos <= v").count() == 0
     labels = meta.select("variant_id", "gene_name", (F.col("label") == "pathogenic").cast("int").alias("label"))
     split, scores = pipeline.train_and_score(selected, labels, 4, 4)
