@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import numbered, reference
+from . import files, numbered, reference
 
-QUERIES = {**numbered.QUERIES, **reference.QUERIES}
-ORACLE = {**numbered.ORACLE, **reference.ORACLE}
+QUERIES = {**numbered.QUERIES, **reference.QUERIES, **files.QUERIES}
+ORACLE = {**numbered.ORACLE, **reference.ORACLE, **files.ORACLE}

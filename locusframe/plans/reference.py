@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
     return curation.curated(table(spark, d, "variants"))
 
 
+def _ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that samples are ranked by; what is written on the way is as wide as what is asked for."""
+    return _variants(spark, d).select("variant_id", "gene_name", "label", "consequence", "stars", "allele_id", "variant_type")
+
+
 def _genes(spark: SparkSession, d: str) -> DataFrame:
     return curation.gene_table(table(spark, d, "genes"))
 
@@ -172,14 +178,18 @@ def vcf_variant_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT gene_id, gene_name, chrom, gene_start AS start, gene_end AS "end", gene_strand AS strand, gene_end - gene_start AS length, coalesce(hgnc_id, '') AS hgnc_id, gene_level AS level FROM genes WHERE gene_level <> 1""")
 def gtf_parse(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "genes")
+    return gtf.parse_genes(gtf_lines(table(spark, d, "genes")))
+
+
+def gtf_lines(g: DataFrame) -> DataFrame:
+    """The gene table as GTF lines."""
     kind = F.when(F.col("gene_level") == 1, "lncRNA").otherwise("protein_coding")
     attributes = F.concat(
         F.lit('gene_id "'), "gene_id", F.lit('.7"; '), F.when(F.col("gene_end") % 2 == 0, "gene_type").otherwise("gene_biotype"), F.lit(' "'), kind,
         F.lit('"; gene_name "'), "gene_name", F.lit('"; level '), F.col("gene_level").cast("string"), F.coalesce(F.concat(F.lit('; hgnc_id "'), "hgnc_id", F.lit('";')), F.lit(";")),
     )
     line = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.lit("X"), F.lit("gene"), F.col("gene_start") + 1, F.col("gene_end"), F.lit("."), F.col("gene_strand"), F.lit("."), attributes)
-    return gtf.parse_genes(g.select(line.alias("value")))
+    return g.select(line.alias("value"))
 
 
 @query(f"WITH {CUR} SELECT variant_id, gene_id FROM cur JOIN genes g ON cur.gene_name = g.gene_name AND pos >= gene_start AND pos + length(ref) <= gene_end")
@@ -197,6 +207,13 @@ def gene_enrich_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("variant_id", "gene_name", "gene_id", "gene_start", "gene_end", "gene_strand", "gene_length", "gene_offset")
 
 
+@query(f"WITH {CUR}, o AS (SELECT *, row_number() OVER (ORDER BY evaluated_at NULLS FIRST, row_id) - 1 AS position FROM cur) SELECT variant_id, position, gene_id FROM o JOIN genes USING (gene_name) QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY position, gene_id) = 1")
+def gene_enrich_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The order of the input comes back after the join."""
+    out = curation.enrich(_variants(spark, d), _genes(spark, d), order=[F.col("evaluated_at").asc_nulls_first(), F.col("row_id").asc()])
+    return out.select("variant_id", "position", "gene_id")
+
+
 _DOC_GENOME = "x AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, upper(t) AS t, length(t)::BIGINT AS n, (doc_id * 37) % length(t) AS p FROM x WHERE t <> '')"
 
 
@@ -299,18 +316,18 @@ SELECT variant_id FROM kr JOIN quo USING (consequence, label) WHERE k <= quota""
 
 @query(f"WITH {CUR}, {BIN}, {_quotas('bin', 500)}, {_DRAWN.format('bin')}")
 def deconfounded_sample_500(spark: SparkSession, d: str) -> DataFrame:
-    return curation.balanced_sample(curation.binarised(_variants(spark, d)), 500).select("variant_id")
+    return curation.balanced_sample(curation.binarised(_ranking(spark, d)), 500).select("variant_id")
 
 
 @query()
 def deconfounded_sample(spark: SparkSession, d: str) -> DataFrame:
     """The published budget."""
-    return curation.balanced_sample(curation.binarised(_variants(spark, d)), BUDGET).select("variant_id")
+    return curation.balanced_sample(curation.binarised(_ranking(spark, d)), BUDGET).select("variant_id")
 
 
 @query(f"WITH {CUR}, {BIN}, {_SMALL}, {_quotas('sml', 8000)}, {_DRAWN.format('sml')}")
 def preset_pilot(spark: SparkSession, d: str) -> DataFrame:
-    return curation.pilot(_variants(spark, d), _genes(spark, d)).select("variant_id")
+    return curation.pilot(_ranking(spark, d), _genes(spark, d)).select("variant_id")
 
 
 @query(f"WITH {CUR} SELECT variant_id, row_number() OVER (ORDER BY md5('42:' || variant_id), variant_id) - 1 AS position FROM cur")
@@ -354,11 +371,17 @@ def shard_merge_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH s AS (SELECT DISTINCT shard FROM scores WHERE score > 1 AND NOT isnan(score)) SELECT r::INT AS shard FROM range((SELECT max(shard) + 1 FROM s)) t(r) WHERE r NOT IN (SELECT shard FROM s)")
-def missing_shards(spark: SparkSession, d: str) -> DataFrame:
+def missing_shards_above_1(spark: SparkSession, d: str) -> DataFrame:
     """Shards without a score above 1, up to the last shard that has one."""
     return validation.missing_shards(table(spark, d, "scores").filter("score > 1 and not isnan(score)"))
 
 
+@query("WITH s AS (SELECT DISTINCT shard FROM scores) SELECT r::INT AS shard FROM range((SELECT max(shard) + 1 FROM s)) t(r) WHERE r NOT IN (SELECT shard FROM s WHERE shard IS NOT NULL)")
+def missing_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Over all rows; none missing is a pass."""
+    return validation.missing_shards(table(spark, d, "scores"))
+
+
 _SPLIT_IDS = f"(SELECT DISTINCT {sql_variant('variant_id')} AS variant_id FROM gene_split WHERE variant_id IS NOT NULL)"
 _SCORE_IDS = f"(SELECT DISTINCT {sql_variant('variant_id')} AS variant_id FROM scores WHERE variant_id IS NOT NULL)"
 
@@ -428,6 +451,28 @@ def metric_held_out(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.stratified_metrics(held), "auroc", "auprc")
 
 
+_OF_SPLIT = f"WITH {SCORED}, {{0}}, hel AS (SELECT * FROM scored SEMI JOIN spl USING (variant_id)), {_metrics_sql('(SELECT * FROM str)', 'stratum', 5).replace('rk AS', STRATA.replace('FROM scored s', 'FROM hel s') + ', rk AS', 1)}"
+
+
+@query(_OF_SPLIT.replace("{0}", f"spl AS (SELECT DISTINCT {sql_variant('variant_id')} AS variant_id FROM gene_split WHERE variant_id IS NOT NULL)"))
+def metric_split_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the split table, whatever its split."""
+    split = table(spark, d, "gene_split").select(variant_key(F.col("variant_id")).alias("variant_id")).filter("variant_id is not null")
+    return _rounded(metrics.stratified_metrics(_scored(spark, d).join(split, "variant_id", "left_semi")), "auroc", "auprc")
+
+
+MEAN_RANK = metrics.Metric(lambda y, tp, rank: y * rank, lambda total, p, n: F.when(p > 0, total / p).otherwise(F.lit(float("nan"))))
+_SIZE = "CASE WHEN abs(length(alt) - length(ref)) <= 1 THEN '1bp' WHEN abs(length(alt) - length(ref)) <= 5 THEN '2-5bp' WHEN abs(length(alt) - length(ref)) <= 20 THEN '6-20bp' ELSE '>20bp' END"
+
+
+@query(f"""WITH {SCORED}, rk AS (SELECT {_SIZE} AS stratum, pathogenic AS y, row_number() OVER (PARTITION BY {_SIZE} ORDER BY score DESC, variant_id) AS k FROM scored)
+SELECT stratum, count(*) AS n_variants, sum(y)::BIGINT AS n_pathogenic, (count(*) - sum(y))::BIGINT AS n_benign, round(sum(y * k)::DOUBLE / sum(y)::DOUBLE, 9) AS mean_rank FROM rk GROUP BY 1 HAVING sum(y) >= 5 AND count(*) - sum(y) >= 5""")
+def metric_of_own(spark: SparkSession, d: str) -> DataFrame:
+    """Strata and metric given by the caller: size classes, and the mean rank of pathogenic variants."""
+    rows = metrics.stratified_metrics(_scored(spark, d), names=F.array(seq.size_bin(F.col("ref"), F.col("alt"))), metrics={"mean_rank": MEAN_RANK})
+    return _rounded(rows, "mean_rank")
+
+
 _TIED = """rnk AS (SELECT *, rank() OVER (PARTITION BY {0} ORDER BY s) + (count(*) OVER (PARTITION BY {0}, s) - 1) / 2::DOUBLE AS r FROM {1})"""
 
 
@@ -513,6 +558,16 @@ def array_select_positions(spark: SparkSession, d: str) -> DataFrame:
     return _selected(spark, d, 12, 4).select("variant_id", "slot", "pos")
 
 
+@query(f"WITH {_select_sql(40, 0)} SELECT variant_id, slot, pos, pos = -1 AS zeros FROM sel")
+def array_cosine_padded(spark: SparkSession, d: str) -> DataFrame:
+    """The positions of least similarity of a range, padded with zero vectors."""
+    rows = _positions(spark, d)
+    ranges = rows.select("variant_id").distinct().withColumn("range_start", F.lit(3)).withColumn("range_end", 8 + F.col("variant_id") % 9 * 5)
+    out = activations.select_positions(rows, ranges, ["variant_id"], 40, zeros=64)
+    zeros = F.forall("var_same", lambda x: x == 0) & F.forall("ref_same", lambda x: x == 0) & (F.size("var_same") == 64)
+    return out.select("variant_id", "slot", "pos", zeros.alias("zeros"))
+
+
 @query(f"WITH {_select_sql(12, 4)} SELECT sel.variant_id, sel.slot, sel.pos, coalesce(round((a[1] - a[2])::DOUBLE, 6), 0) AS loss FROM sel LEFT JOIN v ON v.variant_id = sel.variant_id AND v.pos = sel.pos AND a[1] > 0")
 def array_loss_diff_part(spark: SparkSession, d: str) -> DataFrame:
     """Without the losses of positions whose first component is not above 0, so that some are missing."""
@@ -560,3 +615,60 @@ def model_windows(spark: SparkSession, d: str) -> DataFrame:
     chromosomes = _doc_genome(spark, d)
     windows = genome.variant_windows(_doc_variants(chromosomes, wrong=False), genome.tiles(chromosomes, 256), size=256)
     return probe.selected_positions(windows, probe.hashed_model())
+
+
+@query("SELECT label, i::INT AS i, round(avg(CASE i WHEN 0 THEN a * a WHEN 3 THEN b * b ELSE a * b END), 3) AS x FROM (SELECT label, list_sum(list_transform(embedding, lambda e, k: e::DOUBLE * (((k - 1) * 7) % 5 - 2) / 4)) AS a, list_sum(list_transform(embedding, lambda e, k: e::DOUBLE * (((k - 1) * 7 + 3) % 5 - 2) / 4)) AS b FROM embeddings), range(4) t(i) GROUP BY 1, 2")
+def probe_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Second-moment embeddings of fixed weights, by label."""
+    weights = np.array([[((i * 7 + j * 3) % 5 - 2) / 4 for j in range(2)] for i in range(64)], np.float32)
+    out = probe.moment_embeddings(table(spark, d, "embeddings").select("label", F.col("embedding").alias("diff")), weights, "label")
+    return out.select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 3))
+
+
+def _letters(sequence: str) -> tuple[np.ndarray, np.ndarray]:
+    """A model that SQL can follow: the letter at a position and the one before it, and the next letter as loss."""
+    c = np.frombuffer(sequence.encode(), np.uint8).astype(np.float32) - 77
+    return np.c_[c, np.r_[np.float32(1), c[:-1]]][: len(c)], np.abs(c[1:]) / 8
+
+
+def _letter_harvest(spark: SparkSession, d: str) -> DataFrame:
+    chromosomes = _doc_genome(spark, d)
+    windows = genome.variant_windows(_doc_variants(chromosomes, wrong=False), genome.tiles(chromosomes))
+    return probe.harvested(windows, _letters)
+
+
+_COMPLEMENT = "translate({0}, 'ATGCatgcNn', 'TACGtacgNn')"
+_CODES = "list_transform(string_split({0}, ''), lambda x: ascii(x)::DOUBLE - 77)"
+_LETTERS = f"""{_DOC_GENOME}, h AS (SELECT doc_id, p, t, n, greatest(0, least(p - 49152, n - least(65536, n))) AS a FROM c), hw AS (SELECT doc_id, p, p - a AS o, substring(t, (a + 1)::INT, least(65536, n)::INT) AS rw FROM h),
+y AS (SELECT doc_id, p, o, rw, substring(rw, 1, o::INT) || 'ACG' || substring(rw, o::INT + 2) AS vw FROM hw),
+l AS (SELECT doc_id, p, o, length(rw) AS shared, {_CODES.format('rw')} AS rf, {_CODES.format('vw')} AS vf, {_CODES.format(_COMPLEMENT.format('rw'))} AS rc, {_CODES.format(_COMPLEMENT.format('vw'))} AS vc FROM y),
+z AS (SELECT doc_id, p, o, shared, unnest(range(shared)) AS j, unnest(rf) AS rf, unnest(list_prepend(1, rf)[1:shared]) AS rp, unnest(rc) AS rc, unnest(list_append(rc[2:], 1)) AS rn,
+  unnest(vf[1:shared]) AS vf, unnest(list_prepend(1, vf)[1:shared]) AS vp, unnest(vc[1:shared]) AS vc, unnest(list_append(vc[2:], 1)[1:shared]) AS vn,
+  unnest(list_append(rf[2:], NULL)) AS rl, unnest(vf[2:shared + 1]) AS vl FROM l),
+m AS (SELECT doc_id, p, o, j, 0 AS dir, o + 3 AS s, shared AS e, 64 AS w, vf AS v1, vp AS v2, rf AS s1, rp AS s2, rc AS x1, rn AS x2, CASE WHEN j < shared - 1 THEN abs(vl) / 8 - abs(rl) / 8 ELSE 0 END AS loss FROM z
+  UNION ALL SELECT doc_id, p, o, j, 1, 0, o, 0, vc, vn, rc, rn, rf, rp, CASE WHEN j < shared - 1 THEN abs(vc) / 8 - abs(rc) / 8 ELSE 0 END FROM z)"""
+
+
+@query(f"""WITH {_LETTERS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dir ORDER BY j >= s + w, CASE WHEN j < s + w THEN 0 ELSE (v1 * s1 + v2 * s2) / (greatest(sqrt(v1 * v1 + v2 * v2), 1e-8) * greatest(sqrt(s1 * s1 + s2 * s2), 1e-8)) END, j) AS r
+  FROM m WHERE j >= s AND j < e),
+q AS (SELECT *, j + p - o AS pos, row_number() OVER (PARTITION BY doc_id, dir ORDER BY j) - 1 AS slot FROM k WHERE r <= 256)
+SELECT doc_id::VARCHAR AS variant_id, d.dir::INT AS dir, count(pos) AS n_kept, coalesce(sum(pos), 0)::BIGINT AS sum_pos, coalesce(sum(slot * pos), 0)::BIGINT AS sum_slot_pos, coalesce(sum(loss), 0) AS sum_loss,
+  coalesce(sum((slot + 1) * (v1 + 3 * s2 + 5 * x1)), 0) AS sum_vectors FROM (SELECT doc_id, unnest([0, 1]) AS dir FROM c) d LEFT JOIN q USING (doc_id, dir) GROUP BY 1, 2""")
+def harvest_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, both passes of a model, selection, positions and losses of every document, of the default sizes; sums over the slots."""
+    kept = _letter_harvest(spark, d).filter("slot >= 0").withColumn("real", F.col("pos") >= 0)
+    vectors = (F.col("slot") + 1) * (F.col("var_same")[0] + 3 * F.col("ref_same")[1] + 5 * F.col("ref_cross")[0]).cast("double")
+    zero = lambda c: F.coalesce(F.sum(F.when(F.col("real"), c)), F.lit(0))
+    return kept.groupBy("variant_id", "dir").agg(
+        F.count_if("real").alias("n_kept"), zero(F.col("pos")).alias("sum_pos"), zero(F.col("slot") * F.col("pos")).alias("sum_slot_pos"),
+        F.coalesce(F.sum(F.when(F.col("real"), F.col("loss").cast("double"))), F.lit(0.0)).alias("sum_loss"), F.coalesce(F.sum(F.when(F.col("real"), vectors)), F.lit(0.0)).alias("sum_vectors"),
+    )
+
+
+@query(f"""WITH {_LETTERS}, u AS (SELECT doc_id, dir, unnest([0, 1, 2]) AS view, unnest([v1, s1, x1]) AS a, unnest([v2, s2, x2]) AS b FROM m),
+n AS (SELECT *, sqrt((a * a + b * b) / 2 + {vectors.FLOAT_EPS!r}::DOUBLE) AS g FROM u)
+SELECT doc_id::VARCHAR AS variant_id, dir::INT AS dir, view::INT AS view, round(avg(a / g), 6) AS mean_0, round(avg(b / g), 6) AS mean_1 FROM n GROUP BY 1, 2, 3""")
+def harvest_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of normalised vectors over the shared length: two directions, three views."""
+    means = _letter_harvest(spark, d).filter("mean is not null").select("variant_id", "dir", F.posexplode("mean").alias("view", "m"))
+    return means.select("variant_id", "dir", "view", *[F.round(F.col("m")[i], 6).alias(f"mean_{i}") for i in (0, 1)])

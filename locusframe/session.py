@@ -47,17 +47,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder. What is written there is removed when the application ends."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and the table survives lost executors.
 
-    The table stays as long as the application, since results read from it, and is removed when that ends.
+    The table stays as long as the application, since results read from it.
     """
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = fresh_path(df.sparkSession, name)
     df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
