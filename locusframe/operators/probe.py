@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import FLOAT_EPS
+from ..session import fresh_path
 
 #: (sequence) -> (activations [length, d], loss [length - 1])
 Model = Callable[[str], tuple[np.ndarray, np.ndarray]]
@@ -181,12 +182,17 @@ def moment_embeddings(diffs: DataFrame, weights: np.ndarray, key: str = "variant
 
 
 def fit_probe(embeddings: DataFrame, label: str = "label", iterations: int = 50) -> object:
-    """Logistic regression over embeddings (array<float>), fitted by Spark."""
-    from pyspark.ml.classification import LogisticRegression
+    """Logistic regression over embeddings (array<float>), fitted by Spark.
+
+    The model is saved and read back: what is read holds no training summary, and with it no session, that would travel to the tasks.
+    """
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.functions import array_to_vector
 
     rows = embeddings.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
-    return LogisticRegression(maxIter=iterations, regParam=0.01).fit(rows)
+    path = fresh_path(embeddings.sparkSession, "probe")
+    LogisticRegression(maxIter=iterations, regParam=0.01).fit(rows).save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def score_probe(embeddings: DataFrame, model: object, key: str = "variant_id") -> DataFrame:

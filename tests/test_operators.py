@@ -156,3 +156,95 @@ def test_model_and_embeddings(spark):
     for k in (0, 1):
         z = x[k::2] @ w
         assert np.allclose(got[k], (z.T @ z / len(z)).ravel(), atol=1e-5)
+
+
+def test_windows_of_repeated_ids(spark):
+    tiled = genome.tiles(spark.createDataFrame([("1", CHR1)], "chrom string, sequence string"), 7)
+    ok = CHR1[20]
+    data = [("v", "1", 20, ok, "GG")] * 3 + [("w", "1", 20, ok, "T"), ("v", "1", 20, "N", "T"), ("x", "2", 1, "A", "C")]
+    out = genome.variant_windows(spark.createDataFrame(data, "variant_id string, chrom string, pos long, ref string, alt string"), tiled, 5, 3, 7).collect()
+    assert len(out) == 5 and {r.ref_window for r in out} == {CHR1[15:23]} and {r.offset for r in out} == {5}
+    for r in out:
+        assert r.ref_ok == (r.ref == ok) and r.var_window == (CHR1[15:20] + r.alt + CHR1[21:23] if r.ref == ok else None)
+    assert [r.variant_id for r in out].count("v") == 4 and any(r.ref_ok for r in out)
+
+
+def test_running_totals_over_many_partitions(spark):
+    rng = random.Random(9)
+    data = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([1, None]), i, rng.choice([None, 1, 5, -2])) for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, h int, i int, v int").repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.h, r.i): (r.n, r.s) for r in running_totals(df, ["g", "h"], [F.col("i").asc()], {"n": F.lit(1), "s": F.col("v")}).collect()}
+        whole = {r.i: r.n for r in running_totals(df.select("i"), [], [F.col("i").asc()], {"n": F.lit(1)}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    want, at = {}, {}
+    for g, h, i, v in data:
+        n, s = at.get((g, h), (0, 0))
+        at[g, h] = want[g, h, i] = (n + 1, s + (v or 0))
+    assert got == want and whole == {i: i + 1 for i in range(2000)}
+    assert running_totals(df.limit(0), ["g"], [F.col("i").asc()], {"n": F.lit(1)}).count() == 0
+
+
+def test_harvest_inside_the_task(spark):
+    rng = random.Random(4)
+    chrom = "".join(rng.choice("ACGT") for _ in range(400))
+    tiled = genome.tiles(spark.createDataFrame([("1", chrom)], "chrom string, sequence string"), 64)
+    data = [(f"v{p}", "1", p, chrom[p : p + n], alt) for p, n, alt in ((0, 1, "T"), (50, 3, "A"), (51, 1, "GGG"), (200, 1, "C"), (398, 2, "A"), (399, 1, "ACG"))]
+    windows = genome.variant_windows(spark.createDataFrame(data, "variant_id string, chrom string, pos long, ref string, alt string"), tiled, 60, 40, 64).cache()
+    model, k, sure = probe.hashed_model(4), 12, 5
+    kept = probe.harvested(windows, model, k, sure).collect()
+    rows = probe.run_model(windows, model)
+    ranges = activations.selection_ranges(windows.withColumn("len", F.length("ref_window").cast("bigint")), "len", "offset")
+    at = {r.variant_id: r.pos - r.offset for r in windows.collect()}
+    want = {}
+    for d, w in ((0, sure), (1, 0)):
+        for r in activations.select_positions(rows.filter(F.col("dir") == d), ranges.filter(F.col("dir") == d), ["variant_id", "dir"], k, w).collect():
+            loss = 0.0 if r.pos < 0 or r.var_loss is None or r.ref_loss is None else r.var_loss - r.ref_loss
+            want[r.variant_id, r.dir, r.slot] = (r.pos + at[r.variant_id] if r.pos >= 0 else -1, r.var_same, r.ref_same, r.ref_cross, loss)
+    got = {(r.variant_id, r.dir, r.slot): r for r in kept if r.slot >= 0}
+    assert set(got) == set(want)
+    for key, (pos, *vectors, loss) in want.items():
+        assert got[key].pos == pos and [got[key].var_same, got[key].ref_same, got[key].ref_cross] == vectors and abs(got[key].loss - loss) < 1e-6
+    for d in (0, 1):
+        for i, view in enumerate(activations.VIEWS):
+            means = {}
+            for r in activations.mean_pooled(rows.filter(F.col("dir") == d), ["variant_id"], view).collect():
+                means[r.variant_id, r.dim] = r["mean"]
+            mine = {(r.variant_id, j): x for r in kept if r.slot == -1 and r.dir == d for j, x in enumerate(r["mean"][i])}
+            assert set(mine) == set(means) and all(abs(mine[x] - means[x]) < 1e-9 for x in mine)
+
+    def failing(sequence):
+        if sequence.startswith(chrom[140]):
+            raise RuntimeError("no")
+        return model(sequence)
+
+    errors = [r for r in probe.harvested(windows, failing, k, sure).collect() if r.error]
+    assert errors and all(r.error == "RuntimeError: no" and r.slot is None for r in errors)
+
+
+def test_own_metric_and_strata(spark):
+    data = [(f"v{i}", s, y, size) for i, (s, y, size) in enumerate([(0.9, 1, "a"), (0.8, 0, "a"), (0.7, 1, "a"), (0.6, 0, "b"), (0.5, 1, "b"), (None, 1, "b")])]
+    df = spark.createDataFrame(data, "variant_id string, score double, pathogenic int, size string")
+    mean_rank = metrics.Metric(lambda y, tp, rank: y * rank, lambda total, p, n: F.try_divide(total, p))
+    out = {r.stratum: r for r in metrics.stratified_metrics(df, least=1, names=F.array("size", F.lit("all")), metrics={"mean_rank": mean_rank}).collect()}
+    assert {k: r.mean_rank for k, r in out.items()} == {"a": 2.0, "b": 2.0, "all": 3.0}
+    spread = metrics.blocked_bootstrap_intervals(metrics.by_stratum(df, names=F.array(F.lit("all"))), ["stratum"], "score", "pathogenic", "variant_id", 200, least=1, metrics={"mean_rank": mean_rank}).first()
+    assert 1 <= spread.mean_rank_ci_lo <= 3 <= spread.mean_rank_ci_hi <= 5
+
+
+def test_enrich_gives_the_order_back(spark):
+    genes = spark.createDataFrame([("g", "E2", 0, 9, "+", 9), ("g", "E1", 0, 9, "-", 9), ("h", "E3", 0, 9, "+", 9)], "gene_name string, gene_id string, start long, end long, strand string, length long")
+    df = spark.createDataFrame([("c", "g", 3, 1), ("a", "h", 1, 2), ("b", "none", 1, 3), ("c", "h", 2, 4), (None, None, None, 5)], "variant_id string, gene_name string, pos long, i int").repartition(3)
+    out = curation.enrich(df, genes, order=[F.col("i").asc()]).collect()
+    assert [(r.variant_id, r.gene_id, r.position) for r in out] == [("c", "E1", 0), ("a", "E3", 1)]
+
+
+def test_dropped_counts(spark):
+    steps = {}
+    df = validation.counted(validation.counted(spark.range(10), "all", steps).filter("id > 6"), "kept", steps)
+    assert df.count() == 3 and validation.dropped_counts(steps) == {"all": (10, 7), "kept": (3, 0)}

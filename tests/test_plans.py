@@ -45,3 +45,14 @@ def test_single_task_windows_only_over_partition_counts(spark):
     text = plan(curation.shuffled(table(spark, FOLDER, "variants").select("variant_id")))
     before = text[text.index("Window") :]
     assert "sum(__n" in before and before.count("SinglePartition") == 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from locusframe import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: conf)
+    with pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))

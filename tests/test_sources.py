@@ -65,9 +65,9 @@ def test_fasta_in_many_splits(spark, tmp_path):
 
 
 def test_manifest_ids_checkpoint(spark, tmp_path, rows):
-    (tmp_path / "m.csv").write_text("variant_id,chrom,pos,ref_corrected,alt_corrected,label\nv1,chr1,5,A,C,pathogenic\nv2,2,6,A,C,vus\nv3,X,7,A,C,1\n")
-    assert rows(files.read_manifest(spark, str(tmp_path / "m.csv"))) == [("v1", "1", 5, "A", "C", 1), ("v2", "2", 6, "A", "C", 0), ("v3", "X", 7, "A", "C", 1)]
-    assert files.read_ids(spark, str(tmp_path / "m.csv")).count() == 3
+    (tmp_path / "m.csv").write_text("variant_id,chrom,pos,ref_corrected,alt_corrected,label\nv1,chr1,5,A,C,pathogenic\nv2,2,6,A,C,vus\nv3,X,7,A,C,1\nv4,X,8,A,C,1.0\nv5,X,9,A,C,0.0\nv6,X,9,A,C,\n")
+    assert rows(files.read_manifest(spark, str(tmp_path / "m.csv"))) == [("v1", "1", 5, "A", "C", 1), ("v2", "2", 6, "A", "C", 0), ("v3", "X", 7, "A", "C", 1), ("v4", "X", 8, "A", "C", 1), ("v5", "X", 9, "A", "C", 0), ("v6", "X", 9, "A", "C", 0)]
+    assert files.read_ids(spark, str(tmp_path / "m.csv")).count() == 6
     (tmp_path / "done.txt").write_text("v1\n\n  v2 \n")
     assert rows(files.read_checkpoint(spark, str(tmp_path / "done.txt"))) == [("v1",), ("v2",)]
     assert files.read_checkpoint(spark, str(tmp_path / "none.txt")).count() == 0
@@ -86,6 +86,9 @@ def test_shards_sinks_cache(spark, tmp_path, rows):
     path = str(tmp_path / "c")
     assert files.cached(spark, path, build).count() == files.cached(spark, path, build).count() == 3 and len(built) == 1
     assert files.cached(spark, path, build, refresh=True).count() == 3 and len(built) == 2
+    (tmp_path / "c/_SUCCESS").unlink()  # not written to the end
+    assert files.cached(spark, path, build).count() == 3 and len(built) == 3
+    assert files.shard_name(7) == "scores_shard_7"
     with pytest.raises(FileNotFoundError):
         files.cached(spark, str(tmp_path / "no"), None)
     out = str(tmp_path / "a")
