@@ -2,8 +2,8 @@
 
 Per piece of text the ids come from a dynamic programme over prefixes: for every prefix the last token of its
 encoding is unique; it is the longest vocabulary match ending there whose predecessor (the last token of the prefix
-before it) may stand next to it. Matches come from a suffix automaton over the vocabulary, the neighbour test from
-the merge tree. Following the stored last tokens backwards gives the exact ids.
+before it) may stand next to it. Matches come from an Aho-Corasick automaton over the vocabulary, whose suffix links give all tokens that end at a byte,
+the neighbour test from the merge tree. Following the stored last tokens backwards gives the exact ids.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+LARGEST = 1 << 24  # bytes of all tokens of a vocabulary that is sent to the tasks
 CHUNK = 1 << 21  # characters handled in one pass of the vectorised splitter
 
 # The code points with the Unicode property White_Space.
@@ -46,9 +48,9 @@ class Vocabulary:
         self.matches.make_automaton()
         self.whole = {t: i for i, t in enumerate(tokens) if t}
 
-    def neighbours(self, a: int, b: int) -> bool:
-        """Whether BPE of the joined bytes gives exactly the tokens a, b: no merge across the border may come before both are built."""
-        limit = len(self.tokens)
+    def neighbours(self, a: int, b: int, limit: int | None = None) -> bool:
+        """Whether BPE of the joined bytes gives exactly the tokens a, b: no merge across the border may come before both are built, or before merge ``limit``."""
+        limit = len(self.tokens) if limit is None else limit
         left, right, merged = self.left, self.right, self.merged
         while True:
             if merged.get((a, b), limit) < limit:
@@ -96,6 +98,7 @@ class Vocabulary:
         raise AssertionError("a vocabulary with all single bytes always has a last token")
 
 
+@cache
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Tokens and merge tree of a tokenizer file with ``vocab`` and ordered ``merges`` (special tokens left out)."""
     with open(path, encoding="utf-8") as f:
@@ -116,6 +119,11 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     order = [vocab[a + b] for a, b in merges]
     if order != sorted(order):
         raise ValueError("ids must follow the order of the merges")
+    if sum(map(len, tokens)) > LARGEST:
+        raise ValueError(f"a vocabulary of more than {LARGEST} bytes: too large to send to every task")
+    check = Vocabulary(tokens, left, right)
+    if not all(check.neighbours(int(a), int(b), i) for i, (a, b) in enumerate(zip(left, right)) if a != i):
+        raise ValueError("every token must be the encoding of its own text")  # what whole pieces and first tokens rest on
     return tokens, left, right
 
 
@@ -285,7 +293,7 @@ def _encoder(name: str, data: object) -> Encoder:
 
 
 def _vocabulary(spark: SparkSession, path: str) -> object:
-    """The vocabulary as a broadcast: read on the driver once, under 2 MB by its size of some 50,000 tokens."""
+    """The vocabulary as a broadcast: read on the driver once, its size checked by ``read_vocabulary``."""
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 

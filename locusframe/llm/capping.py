@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import gene_key, star_rank
 from ..operators.latest import latest_variants
@@ -16,66 +17,72 @@ from ..session import written
 from .runs import RunRanks
 
 
-def first_by_position(df: DataFrame, contributor: str, order: list[Column], cap: str | int) -> DataFrame:
+def first_by_position(df: DataFrame, contributor: str, order: list[Column], cap: str | int, few_over: bool = False) -> DataFrame:
     """The first ``cap`` rows of ``order`` for every contributor, with their 0-based ``position`` and ``over_cap``.
 
     One global range sort by contributor and order; a contributor may span any number of partitions, so its size
-    makes no task long. Each sorted partition streams out (1) of each contributor's stretch the rows that could still lie
-    below the cap and one more, with their index in the partition, and (2) its row count. Prefix sums of the partition
-    counts (one row per partition) turn indexes into exact global positions; the least position of a contributor
-    is its start; positions below start + cap stay. ``cap`` is a number or the name of a column
+    makes no task long. Each sorted partition streams out of each contributor's stretch the rows that could still lie
+    below the cap and one more, with their index in the partition, and at its end its row count and those of its first and last contributor. Prefix sums of the
+    partition counts (one row per partition) turn indexes into exact global positions; only the first contributor of a partition can have
+    begun in an earlier one, so its start comes from those rows too, and every other start is known where the rows lie: nothing is joined by contributor to find it.
+    Positions below start + cap stay. ``cap`` is a number or the name of a column
     that is the same for all rows of a contributor. ``order`` must end in an identifier. A null contributor is left out.
     ``over_cap`` says that the contributor had more rows than its cap; the one row
     beyond the cap that proves it does not come out. A cap of 0 or null keeps nothing; an empty table gives no rows. Columns
-    ``position`` and ``over_cap`` of the input are replaced.
+    ``position`` and ``over_cap`` of the input are replaced. few_over: the contributors over their cap are known to be few (a cap that is a share of all
+    rows), so the list of them is sent to every task, and a contributor with very many rows below its cap is no single task.
     """
     df = df.drop("position", "over_cap")
-    schema = df.schema
     limit = F.lit(cap) if isinstance(cap, int) else F.col(cap)
-    fields = schema.simpleString()[len("struct<") : -1]
     names = df.columns
+    added = [("__part", T.IntegerType()), ("__index", T.LongType()), ("__start", T.LongType()), ("__count", T.LongType()), ("__run", T.LongType())]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField("__cap", T.LongType()), *[T.StructField(n, t) for n, t in added]])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ranks, seen, part, last = RunRanks(), 0, TaskContext.get().partitionId(), None
+        ranks, seen, part, ends, first = RunRanks(), 0, TaskContext.get().partitionId(), None, None
         for batch in batches:
-            rank, index = ranks(batch.column(contributor)), np.arange(seen, seen + batch.num_rows)
+            n = batch.num_rows
+            if not n:
+                continue
+            rank, index = ranks(batch.column(contributor)), np.arange(seen, seen + n)
+            start = index - rank  # where the run begins in the partition; 0 for the partition's first contributor
+            of_first = int(np.searchsorted(start, 0, side="right"))
+            ends = batch.slice(n - 1, 1)
+            first = [batch.slice(0, 1), of_first] if first is None else [first[0], first[1] + of_first]
             caps = batch.column("__cap").to_numpy(zero_copy_only=False)
-            keep = rank <= caps
-            seen, last = seen + batch.num_rows, batch.schema
             out = pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(index), pa.nulls(batch.num_rows, pa.int64())],
-                names=[*batch.schema.names, "__part", "__index", "__count"],
-            )
-            yield out.filter(pa.array(keep))
-        if last is not None:
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.nulls(1, f.type) for f in last], pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([seen], pa.int64())],
-                names=[*last.names, "__part", "__index", "__count"],
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(index), pa.array(start), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=schema.names
             )
+            seen += n
+            yield out.filter(pa.array(rank <= caps))
+        if first is not None:
+            for row, count, run in ((first[0], seen, first[1]), *([(ends, None, ranks.seen)] if first[1] < seen else [])):
+                held = [row.column(c) if c == contributor else pa.nulls(1, row.column(c).type) for c in row.schema.names]
+                tail = [pa.array([x], t) for x, t in ((part, pa.int32()), (None, pa.int64()), (None, pa.int64()), (count, pa.int64()), (run, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*held, *tail], names=schema.names)
 
     placed = (
         df.filter(F.col(contributor).isNotNull())
         .withColumn("__cap", limit.cast("bigint"))
         .repartitionByRange(contributor, *order)
         .sortWithinPartitions(contributor, *order)
-        .mapInArrow(stream, f"{fields}, __cap bigint, __part int, __index bigint, __count bigint")
+        .mapInArrow(stream, schema)
     )
     placed = written(placed, "positions")
-    # one row per partition: an unpartitioned window over so few rows is a prefix sum, not a bottleneck
-    counts = placed.filter("__count is not null").select("__part", "__count")
+    # one or two rows per partition: windows over so few rows are prefix sums, not a bottleneck
+    ends = placed.filter("__run is not null").select(contributor, "__part", "__count", "__run")
+    earlier = W.partitionBy(contributor).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__of_first", F.coalesce(F.sum("__run").over(earlier), F.lit(0))).filter("__count is not null")
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"))
-    rows = placed.filter("__count is null").join(F.broadcast(offsets), "__part").withColumn("__at", F.col("__before") + F.col("__index"))
-    starts = rows.groupBy(contributor).agg(F.min("__at").alias("__start"), F.max("__at").alias("__end"))
-    return (
-        rows.join(starts, contributor)
-        .withColumn("position", F.col("__at") - F.col("__start"))
-        .withColumn("over_cap", F.col("__end") - F.col("__start") >= F.col("__cap"))
-        .filter(F.col("position") < F.col("__cap"))
-        .select(*names, "position", "over_cap")
-    )
+    offsets = ends.select("__part", "__of_first", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"))
+    rows = placed.filter("__run is null").join(F.broadcast(offsets), "__part")  # one row per partition
+    start = F.col("__before") + F.when(F.col("__start") == 0, -F.col("__of_first")).otherwise(F.col("__start"))
+    rows = rows.withColumn("position", F.col("__before") + F.col("__index") - start)
+    over = rows.filter(F.col("position") == F.col("__cap")).select(contributor, F.lit(True).alias("__over"))  # one row a contributor over its cap
+    kept = rows.filter(F.col("position") < F.col("__cap")).join(F.broadcast(over) if few_over else over, contributor, "left")
+    return kept.select(*names, "position", F.coalesce("__over", F.lit(False)).alias("over_cap"))
 
 
 def cap_contributors(df: DataFrame, contributor: str, order: list[Column], most: int | None = None, share: float | None = None) -> DataFrame:
@@ -85,7 +92,8 @@ def cap_contributors(df: DataFrame, contributor: str, order: list[Column], most:
     if share is None:
         return first_by_position(df, contributor, order, int(most))
     whole = df.agg(F.floor(F.count("*") * F.lit(share)).cast("bigint")).scalar()
-    return first_by_position(df.withColumn("__share_cap", whole), contributor, order, "__share_cap").drop("__share_cap")
+    few = share >= 1e-4  # at most 1 / share contributors can hold more than a share of all rows
+    return first_by_position(df.withColumn("__share_cap", whole), contributor, order, "__share_cap", few).drop("__share_cap")
 
 
 def gene_records(variants: DataFrame) -> DataFrame:

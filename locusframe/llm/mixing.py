@@ -18,10 +18,11 @@ EXACT_BUDGET = 1 << 17
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, exact: int = EXACT_BUDGET) -> np.ndarray:
     """How many documents of each token length to take (at most ``counts``) so that their sum comes as near to ``budget`` from below as can be.
 
-    A proportional share of every length is taken first, then single documents of lengths in seeded order, until less than
-    ``exact`` tokens (or twice the longest length) remain; that remainder is fitted by bounded-knapsack dynamic
-    programming: bit s of a set says that s tokens can be reached; a length with c documents enters as 1, 2, 4, ... of it.
-    It stops as soon as the remainder itself is reached.
+    A proportional share of every length comes first, by systematic sampling over the documents in order of length, at every size of the budget; what is kept
+    back is twice the longest length, ``exact`` tokens at most. Whole long documents then bring the rest below ``exact``, and that remainder is fitted by
+    bounded-knapsack dynamic programming: a length with c documents enters as 1, 2, 4, ... of it, and of every sum the first entry is kept that
+    reached it, so memory is one number a sum whatever the lengths are. It stops as soon as the remainder itself is reached. Where it is not, and the
+    whole budget is at most ``exact``, the whole budget is fitted that way, and the nearer of both is taken.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
@@ -32,43 +33,64 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
     if budget >= total:
         take[usable] = counts[usable]
         return take
-    exact = max(exact, 2 * int(lengths[usable].max()))
     rng = np.random.default_rng(seed)
-    left = budget
+    usable = usable[np.argsort(lengths[usable], kind="stable")]
+    keep = min(exact, 2 * int(lengths[usable].max()))
+    if budget > keep:
+        upto = np.floor(np.cumsum(counts[usable]) * ((budget - keep) / total) + rng.random()).astype(np.int64)
+        take[usable] = np.minimum(np.diff(np.r_[0, upto]), counts[usable])
+    left = budget - int((lengths * take).sum())
+    for i in usable[::-1]:  # the draw may lie above the budget by a document or two of the longest
+        if left >= 0:
+            break
+        back = min(int(take[i]), -(left // int(lengths[i])))
+        take[i] -= back
+        left += back * int(lengths[i])
+    for i in usable[::-1]:
+        if left <= exact:
+            break
+        more = min(int(counts[i] - take[i]), max(0, left - exact // 2) // int(lengths[i]))
+        take[i] += more
+        left -= more * int(lengths[i])
+    if left > exact:  # whatever is not taken yet is longer than half of ``exact`` and no two of it fit
+        fits = usable[(take[usable] < counts[usable]) & (lengths[usable] <= left)]
+        if len(fits):
+            take[fits[-1]] += 1
+            left -= int(lengths[fits[-1]])
     if left > exact:
-        part = (counts[usable].astype(float) * ((left - exact / 2) / total)).astype(np.int64)
-        take[usable] = part
-        left -= int((lengths[usable] * part).sum())
-        for i in rng.permutation(usable):
-            if left <= exact:
-                break
-            more = min(int(counts[i] - take[i]), max(0, left - exact // 2) // int(lengths[i]), 1 + int(counts[i]) // 8)
-            take[i] += more
-            left -= more * int(lengths[i])
-        for i in usable[np.argsort(-lengths[usable])]:  # whatever is left above the exact range
-            if left <= exact:
-                break
-            more = min(int(counts[i] - take[i]), (left - exact // 2) // int(lengths[i]))
-            take[i] += max(0, more)
-            left -= max(0, more) * int(lengths[i])
-    room = (1 << (left + 1)) - 1
-    reach, steps = 1, []
-    for i in rng.permutation(usable):
+        return take
+    short = _filled(lengths, counts, take, left, rng.permutation(usable))
+    if short and budget <= exact:  # other documents than the share's may come nearer
+        other = np.zeros(len(lengths), np.int64)
+        if _filled(lengths, counts, other, budget, rng.permutation(usable)) < short:
+            return other
+    return take
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, order: np.ndarray) -> int:
+    """Add to ``take`` documents of ``left`` tokens, or as near below as can be; what is left then."""
+    by = np.full(left + 1, -1, np.int64)  # the entry that reached a sum first
+    reached = np.zeros(left + 1, bool)
+    reached[0], entries = True, []
+    for i in order:
         size, spare, lot = int(lengths[i]), int(counts[i] - take[i]), 1
-        while spare > 0 and size * lot <= left:
+        while spare > 0 and size * min(lot, spare) <= left:
             lot = min(lot, spare)
-            steps.append((i, lot, reach))
-            reach |= (reach << (size * lot)) & room
+            step = size * lot
+            new = reached[:-step] & ~reached[step:]
+            by[step:][new] = len(entries)
+            reached[step:] |= new
+            entries.append((i, lot))
             spare -= lot
             lot *= 2
-        if reach >> left & 1:
+        if reached[left]:
             break
-    at = reach.bit_length() - 1
-    for i, lot, before in reversed(steps):
-        if not before >> at & 1:
-            at -= int(lengths[i]) * lot
-            take[i] += lot
-    return take
+    best = at = int(np.flatnonzero(reached)[-1])
+    while at:
+        i, lot = entries[by[at]]
+        take[i] += lot
+        at -= int(lengths[i]) * lot
+    return left - best
 
 
 def length_plan(sized: DataFrame, weights: DataFrame, seed: int = 42) -> DataFrame:
@@ -100,18 +122,18 @@ def length_plan(sized: DataFrame, weights: DataFrame, seed: int = 42) -> DataFra
 def mix_report(plan: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, weight, max_repeat, size, target, used, share, short) for every weighted source, also those without documents.
 
-    short: all its documents repeated max_repeat times stay below its target. share: used tokens of all used tokens.
+    short: its plan repeats every document max_repeat times and yet stays below its target. share: used tokens of all used tokens.
     """
     known = weights.filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeat").alias("max_repeat"))
     used = plan.groupBy("source").agg(
-        F.sum(F.col("n_tokens") * F.col("n_docs")).alias("size"), F.sum(F.col("n_tokens") * (F.col("n_docs") * F.col("copies") + F.col("extra"))).alias("used")
+        F.sum(F.col("n_tokens") * F.col("n_docs")).alias("size"), F.sum(F.col("n_tokens") * (F.col("n_docs") * F.col("copies") + F.col("extra"))).alias("used"), F.min("copies").alias("__least")
     )
     rows = known.join(used, "source", "left").fillna(0, ["size", "used"])
     target = F.col("weight") * F.col("__size")
     return rows.withColumns({"__size": rows.agg(F.sum("size")).scalar(), "__used": rows.agg(F.sum("used")).scalar()}).select(
         "source", "weight", "max_repeat", "size", target.alias("target"), "used",
         F.when(F.col("__used") > 0, F.col("used") / F.col("__used")).otherwise(F.lit(0.0)).alias("share"),
-        (F.col("max_repeat") * F.col("size") < target).alias("short"),
+        ((F.coalesce("__least", "max_repeat") >= F.col("max_repeat")) & (F.col("used") < target)).alias("short"),
     )
 
 

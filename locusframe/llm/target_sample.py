@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import consequence_key, term_key
 from ..operators.latest import latest_variants
+from ..session import written
 from .capping import first_by_position
 
 REPORT = (
@@ -31,36 +34,50 @@ def swap_repair(start: np.ndarray, available: np.ndarray, floors: np.ndarray, ta
     below that still has rows; floors are never undercut, the sample keeps its size. It ends when no exchange improves.
     """
     take, least = start.copy(), np.minimum(floors, available)
+    gap = take - target
+    above = [(-gap[i], i) for i in np.flatnonzero(take > least)]
+    below = [(gap[i], i) for i in np.flatnonzero(take < available)]
+    heapq.heapify(above)
+    heapq.heapify(below)
+
+    def furthest(heap: list, sign: int) -> int | None:
+        while heap:
+            g, i = heap[0]
+            if g == sign * (take[i] - target[i]) and (take[i] > least[i] if sign < 0 else take[i] < available[i]):
+                return i
+            heapq.heappop(heap)  # has changed since, or cannot give or take any more
+        return None
+
     while True:
-        above = np.where(take > least, take - target, -np.inf)
-        below = np.where(take < available, target - take, -np.inf)
-        give, get = int(above.argmax()), int(below.argmax())
-        if give == get or not np.isfinite(above[give]) or not np.isfinite(below[get]):
+        give, get = furthest(above, -1), furthest(below, 1)
+        if give is None or get is None or give == get:
             return take
+        a, b = take[give] - target[give], target[get] - take[get]
         # moving m rows changes the deviation by |a - m| - a + |b - m| - b
-        m = int(min(np.floor(above[give]), np.floor(below[get]), take[give] - least[give], available[get] - take[get]))
+        m = int(min(np.floor(a), np.floor(b), take[give] - least[give], available[get] - take[get]))
         if m < 1:
-            gain = above[give] - abs(above[give] - 1) + below[get] - abs(below[get] - 1)
-            if gain <= 1e-9:
+            if a - abs(a - 1) + b - abs(b - 1) <= 1e-9:
                 return take
             m = 1
         take[give] -= m
         take[get] += m
+        for i in (give, get):
+            heapq.heappush(above, (-(take[i] - target[i]), i))
+            heapq.heappush(below, (take[i] - target[i], i))
 
 
-def plan_sample(counts: DataFrame, targets: DataFrame, n: int, seed: int = 42, most_cells: int = 100_000) -> DataFrame:
+def plan_sample(counts: DataFrame, targets: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """How many rows of each signature to take, and where the target cannot be met.
 
-    counts: (signature, available); targets: (signature, target_share, min_n). Only these counts, one number a
-    signature, reach the driver; more than ``most_cells`` of them are refused. required = max(min_n, floor(share × n));
-    met says that enough rows exist. Signatures without a target are not drawn.
+    counts: (signature, available); targets: (signature, target_share, min_n). Only the cells of ``targets`` reach the driver, four numbers each, and the
+    repair takes the logarithm of their number for each exchange; signatures without a target are not drawn and not looked at.
+    required = max(min_n, floor(share × n)); met says that the sample holds as many, or could. A sample holds fewer than required also where
+    enough exist, if the least numbers of other cells leave no room.
     """
     cells = targets.join(counts, "signature", "left").select(
         "signature", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("min_n", F.lit(0)).alias("min_n")
     )
-    rows = cells.orderBy("signature").limit(most_cells + 1).collect()
-    if len(rows) > most_cells:
-        raise ValueError(f"more than {most_cells} signatures")
+    rows = cells.orderBy("signature").collect()
     available = np.array([r.available for r in rows], np.int64)
     share = np.array([r.share for r in rows], float)
     floors = np.array([r.min_n for r in rows], np.int64)
@@ -70,7 +87,7 @@ def plan_sample(counts: DataFrame, targets: DataFrame, n: int, seed: int = 42, m
         take = swap_repair(random_start(available, floors, n, seed), available, floors, np.maximum(share * n, floors))
     size = max(1, int(take.sum()))
     report = [
-        (r.signature, int(a), int(q), int(k), float(s), float(k / size), bool(a >= q))
+        (r.signature, int(a), int(q), int(k), float(s), float(k / size), bool(k >= q or a >= q))
         for r, a, q, k, s in zip(rows, available, required, take, share)
     ]
     return targets.sparkSession.createDataFrame(report, REPORT)
@@ -102,18 +119,24 @@ def _latest_cells(variants: DataFrame) -> DataFrame:
 
 def variant_plan(variants: DataFrame, targets: DataFrame, fraction: int = 10, seed: int = 42) -> DataFrame:
     """Report of the sample of a ``fraction``-th of all distinct variants: (consequence, label, available, required, taken, target_share, actual_share, met)."""
-    by_cell = _latest_cells(variants).groupBy("signature").agg(F.count("*").alias("available")).persist()
-    try:
-        n = int(by_cell.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n")).first().n) // fraction
-        cells = target_cells(targets)
-        plan = plan_sample(by_cell, cells.select("signature", "target_share", "min_n"), n, seed)
-    finally:
-        by_cell.unpersist()
+    by_cell = written(_latest_cells(variants).groupBy("signature").agg(F.count("*").alias("available")), "cells")  # read twice
+    n = int(by_cell.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n")).first().n) // fraction
+    cells = target_cells(targets)
+    plan = plan_sample(by_cell, cells.select("signature", "target_share", "min_n"), n, seed)
     return plan.drop("target_share").join(cells.select("signature", "consequence", "label", "target_share"), "signature")
 
 
+def short_cells(plan: DataFrame) -> DataFrame:
+    """Cells of which the sample holds fewer rows than required, and could not hold more: the least numbers of the others are not what stands in their way."""
+    return plan.filter("taken < required").filter("available < required")
+
+
 def variant_sample(variants: DataFrame, targets: DataFrame, fraction: int = 10, seed: int = 42) -> DataFrame:
     """(row_id, variant_id, consequence, label): the sample itself, spelled as in ``targets``."""
-    plan = variant_plan(variants, targets, fraction, seed)
+    return draw_variants(variants, variant_plan(variants, targets, fraction, seed), seed)
+
+
+def draw_variants(variants: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of a plan."""
     drawn = draw_sample(_latest_cells(variants), plan, "row_id", seed)
     return drawn.join(plan.select("signature", "consequence", "label"), "signature").select("row_id", "variant_id", "consequence", "label")

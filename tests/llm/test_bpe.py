@@ -70,3 +70,20 @@ def test_very_long_text(spark, library):
     text = "The quick brown fox. " * 120_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert bpe.encode_documents(df).first().ids == library(text)
+
+
+def test_vocabularies_are_checked(tmp_path):
+    import json
+
+    path = tmp_path / "v.json"
+    plain = {c: i for i, c in enumerate(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]))}
+    for i in range(256 - len(plain)):
+        plain[chr(256 + i)] = len(plain)
+    n = len(plain)
+    good = {"vocab": plain | {"ab": n, "abc": n + 1}, "merges": ["a b", "ab c"]}
+    path.write_text(json.dumps({"model": good}))
+    assert len(bpe.read_vocabulary(str(path))[0]) == n + 2
+    other = tmp_path / "w.json"  # bc comes first, so the bytes of abc are a, bc and never the token abc
+    other.write_text(json.dumps({"model": {"vocab": plain | {"bc": n, "ab": n + 1, "abc": n + 2}, "merges": ["b c", "a b", "ab c"]}}))
+    with pytest.raises(ValueError):
+        bpe.read_vocabulary(str(other))

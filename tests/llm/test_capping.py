@@ -45,3 +45,23 @@ def test_genes(spark, rows):
     got = capped_genes(df)
     assert [r.row_id for r in got.filter("gene_name = 'G'").orderBy("position").collect()] == want
     assert got.filter("not over_cap").select("gene_name", "row_id").collect()[0] == ("H", 101)
+
+
+def test_hot_contributors_over_many_partitions(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["hot"] * 8 + ["a", "b", "c", None]), rng.randint(0, 9), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, q int, i int").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for args in ({"most": 30}, {"most": 5000}, {"share": 0.2}, {"share": 0.00001}):
+            got = {(r.k, r.position): (r.i, r.over_cap) for r in cap_contributors(df, "k", [F.col("q").desc(), F.col("i").asc()], **args).collect()}
+            cap, want = args.get("most", int(3000 * args.get("share", 0))), {}
+            for k in ("hot", "a", "b", "c"):
+                mine = sorted((-q, i) for g, q, i in data if g == k)
+                want |= {(k, p): (i, len(mine) > cap) for p, (_, i) in enumerate(mine[:cap])}
+            assert got == want, args
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])

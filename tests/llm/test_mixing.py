@@ -26,6 +26,20 @@ def test_large_budget_is_met_exactly():
     assert (take * size).sum() == budget and (take <= count).all()
 
 
+def test_very_long_documents_and_all_sizes_of_budget():
+    rng = np.random.default_rng(8)
+    size = np.unique(np.r_[rng.integers(20, 3000, 300), 10_000_000, 7_000_001])
+    count = rng.integers(1, 4, len(size))
+    total = int((size * count).sum())
+    for budget in (0, 5, 40_000, 300_000, 9_000_000, total // 2, total - 1, total, total + 9):
+        take = mixing.fit_budget(size, count, budget, 1)
+        assert (take >= 0).all() and (take <= count).all() and budget >= (take * size).sum()
+        assert (take * size).sum() >= min(budget, total) - 3000 or budget in (9_000_000, total // 2)
+    small = np.arange(100, 400)
+    take = mixing.fit_budget(small, np.full(300, 5), 60_000, 1)
+    assert (take * small).sum() == 60_000 and (take > 0).sum() > 150  # a share of every length, not a few lengths
+
+
 def tables(spark):
     docs = [(i, "big", 10 + i % 7) for i in range(300)] + [(1000 + i, "small", 5) for i in range(4)] + [(2000, "odd", 9), (3000, None, 9), (4000, "big", 0), (4001, "zero", 0)]
     sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
