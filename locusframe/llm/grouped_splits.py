@@ -108,8 +108,8 @@ def gene_ties(rows: DataFrame) -> DataFrame:
 
     rows: distinct rows with variant_id and gene_name, so that a variant delivered very often is few of them. Only variants of several rows are looked at further.
     """
-    several = rows.groupBy("variant_id").agg(F.count("*").alias("n")).filter("n > 1").select("variant_id")
-    rows = rows.select("variant_id", "gene_name").join(several, "variant_id", "left_semi")
+    several = written(rows.groupBy("variant_id").agg(F.count("*").alias("n")).filter("n > 1").select("variant_id"), "several")  # its size is known to the joins
+    rows = written(rows.select("variant_id", "gene_name").join(several, "variant_id", "left_semi"), "tied")
     first = rows.groupBy("variant_id").agg(F.min("gene_name").alias("first"))
     tied = rows.join(first, "variant_id").filter("gene_name <> first")
     return tied.select(F.col("first").alias("a"), F.col("gene_name").alias("b")).distinct()
