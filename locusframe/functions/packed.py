@@ -66,6 +66,16 @@ class PackedTokenizer:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
         return low.replace("_", " ")
 
+    def firsts(self, s: str) -> set[str]:
+        """What stands, in comparison form, from each place where an item may begin to the next separator: a known value in ``s`` begins with one of them."""
+        folded, i, out = self._fold(s), 0, set()
+        while i < len(s):
+            m = self.find(s, i)
+            end = m.start() if m else len(s)
+            out.add(folded[i:end].lstrip(" "))
+            i = end + 1
+        return out
+
     def _boundary(self, s: str, i: int) -> int:
         """Where the separator (or the end) stands if only padding lies between it and ``i``; else -1."""
         n = len(s)
@@ -73,13 +83,19 @@ class PackedTokenizer:
             i += 1
         return i if i == n or self.find(s[i]) else -1
 
-    def _quoted(self, s: str, i: int) -> tuple[str, int] | None:
-        """The value of the quotes opened at ``i`` and where it ends; None when they enclose no value."""
+    def _quoted(self, s: str, i: int, open_ended: set[str]) -> tuple[str, int] | None:
+        """The value of the quotes opened at ``i`` and where it ends; None when they enclose no value.
+
+        open_ended: quotes for which an earlier search has found no end. Behind the run of quotes at ``i`` that search saw what this one would see, so it is not
+        made again, and a text full of open quotes takes time in proportion to its length.
+        """
         quote, n, out, j = s[i], len(s), [], i + 1
         if s.startswith(quote, j) and (end := self._boundary(s, j + 1)) >= 0:
             return "", end
         while j < n:
             c = s[j]
+            if quote in open_ended and c != quote:
+                return None
             if c == self.escape and j + 1 < n and s[j + 1] == quote:
                 out.append(quote)
                 j += 2
@@ -94,6 +110,7 @@ class PackedTokenizer:
             else:
                 out.append(c)
                 j += 1
+        open_ended.add(quote)
         return None
 
     def _plain_end(self, s: str, i: int) -> int:
@@ -114,13 +131,13 @@ class PackedTokenizer:
         """Values in order, without enclosing quotes and padding; empty pieces are skipped. Null or empty text: no values."""
         if not s:
             return []
-        folded, n, i, out = self._fold(s), len(s), 0, []
+        folded, n, i, out, open_ended = self._fold(s), len(s), 0, [], set()
         while i < n:
             while i < n and s[i] in " _":
                 i += 1
             if i == n:
                 break
-            if s[i] in "\"'" and (found := self._quoted(s, i)):
+            if s[i] in "\"'" and (found := self._quoted(s, i, open_ended)):
                 item, end = found
             else:
                 end = self._plain_end(s, i)

@@ -16,8 +16,8 @@ _NEVER_SEPARATES = r"""^[\p{L}\p{N} ._'"()\[\]-]*$"""
 
 
 def known_terms(terms: DataFrame, most: int = 200_000) -> dict[str, list[str]]:
-    """Known values by field. The dictionary travels to every task, so its size is checked: more than ``most`` rows are refused."""
-    rows = terms.select("field_name", "term").filter("field_name is not null and term is not null").limit(most + 1).collect()
+    """Known values by field, to send to every task, so their number is checked: more than ``most`` are refused here, see ``split_packed_by_terms``."""
+    rows = _given(terms).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} known terms: too many to send to every task")
     by: dict[str, list[str]] = {}
@@ -26,6 +26,10 @@ def known_terms(terms: DataFrame, most: int = 200_000) -> dict[str, list[str]]:
     return by
 
 
+def _given(terms: DataFrame) -> DataFrame:
+    return terms.select("field_name", "term").filter("field_name is not null and term is not null")
+
+
 def split_packed(
     df: DataFrame,
     key: str,
@@ -65,3 +69,51 @@ def split_packed(
     if least > 1:
         narrow = narrow.filter(F.coalesce(*fields).isNotNull())
     return narrow.mapInArrow(scan, f"`{key}` {key_type}, field_name string, item_no int, item string")
+
+
+SALTS = 16
+
+
+def split_packed_by_terms(df: DataFrame, key: str, fields: list[str], terms: DataFrame, least: int = 2, brackets: bool = False, most: int = 200_000) -> DataFrame:
+    """``split_packed`` with the known values of a table (field_name, term) of any size.
+
+    Up to ``most`` known values travel to every task. Beyond that each distinct field value meets only the known values it can hold, by a join on their first
+    piece, is scanned once with these, and its items are joined back to its rows; rows of one value are spread over ``SALTS`` parts of that join.
+    """
+    if _given(terms).limit(most + 1).count() <= most:
+        return split_packed(df, key, fields, known_terms(terms, most), least, brackets)
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields]))
+    rows = df.select(F.col(key).alias("__key"), long.alias("f")).select("__key", "f.*").filter(~F.col("value").rlike(_NEVER_SEPARATES) if least > 1 else F.col("value").isNotNull())
+    values = rows.select("field_name", "value").distinct()
+    pairs = "field_name string, value string, first string"
+
+    def firsts(of_terms: bool) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokenizer = PackedTokenizer(brackets=brackets)
+            for batch in batches:
+                found = []
+                for field, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    if of_terms:
+                        found += [(field, value, first) for first in PackedTokenizer([value]).known]
+                    else:
+                        found += [(field, value, first) for first in sorted(tokenizer.firsts(value))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["field_name", "value", "first"])
+
+        return run
+
+    starts = values.mapInArrow(firsts(False), pairs)
+    by_first = _given(terms).distinct().mapInArrow(firsts(True), pairs).withColumnRenamed("value", "term")
+    held = starts.join(by_first, ["field_name", "first"]).groupBy("field_name", "value").agg(F.collect_set("term").alias("terms"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = PackedTokenizer(brackets=brackets)
+        for batch in batches:
+            items = [(PackedTokenizer(t, brackets=brackets) if t else plain)(v) for v, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.string()))], names=["field_name", "value", "items"])
+
+    scanned = values.join(held, ["field_name", "value"], "left").select("field_name", "value", "terms").mapInArrow(scan, "field_name string, value string, items array<string>")
+    salted = scanned.filter(F.size("items") >= least).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("__salt", F.pmod(F.hash("__key"), F.lit(SALTS)))
+    out = spread.join(salted, ["field_name", "value", "__salt"]).select(F.col("__key").alias(key), "field_name", F.posexplode("items").alias("__at", "item"))
+    return out.select(key, "field_name", (F.col("__at") + 1).alias("item_no"), "item")

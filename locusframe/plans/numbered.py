@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import consequence_key, gene_key, star_rank
 from ..operators.dense_keys import dense_totals, heavy_keys
-from ..operators.packed_values import known_terms, split_packed
+from ..operators.packed_values import split_packed_by_terms
 from ..sources.tables import table
 
 SQL_BLANKS = "' ' || chr(9) || chr(13) || chr(10)"
@@ -37,8 +37,7 @@ SQL_LATEST = "(SELECT * FROM variants WHERE variant_id IS NOT NULL QUALIFY row_n
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    terms = known_terms(table(spark, d, "terms"))
-    return split_packed(table(spark, d, "variants"), "row_id", ["disease_name", "clinical_significance"], terms)
+    return split_packed_by_terms(table(spark, d, "variants"), "row_id", ["disease_name", "clinical_significance"], table(spark, d, "terms"))
 
 
 def spelled(keys: DataFrame, targets: DataFrame) -> DataFrame:

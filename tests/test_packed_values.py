@@ -108,3 +108,31 @@ def test_plain_reference_on_random_strings():
     for _ in range(500):
         s = "".join(rng.choice("ab-_ ,;|\t(.") for _ in range(rng.randint(0, 30)))
         assert PackedTokenizer()(s) == [x.strip(" \t\r\n_") for x in re.split(r"[,;|\t]", s) if x.strip(" \t\r\n_")]
+
+
+def test_more_terms_than_fit_every_task(spark):
+    from locusframe.operators.packed_values import split_packed_by_terms
+    from locusframe.sources.tables import table
+
+    data = [(i, v, w) for i, (v, w) in enumerate([("Ataxia, late form; Gout", "a/b"), ("gout|ATAXIA,_LATE_form", None), ("'x, y'; z", ""), (None, "Benign; likely, benign"), ("one", "two")])] + [(7, "Ataxia, late form; Gout", "p;q")] * 40
+    df = spark.createDataFrame(data, "k int, disease string, verdict string").selectExpr("*", "'clash' as item", "1 as item_no")
+    terms = spark.createDataFrame([("disease", "ataxia, late form"), ("verdict", "likely, benign"), ("disease", "gout"), ("disease", None), (None, "x"), ("verdict", "a/c")], "field_name string, term string")
+    few, many = (split_packed_by_terms(df, "k", ["disease", "verdict"], terms, most=most) for most in (100, 0))
+    assert few.columns == many.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 80
+    assert split_packed_by_terms(df.limit(0), "k", ["disease", "verdict"], terms, most=0).count() == 0
+    folder = "/root/testdata/sf0.001"
+    given = [split_packed_by_terms(table(spark, folder, "variants"), "row_id", ["disease_name", "clinical_significance"], table(spark, folder, "terms"), most=most) for most in (10_000, 10)]
+    assert sorted(map(tuple, given[0].collect())) == sorted(map(tuple, given[1].collect()))
+
+
+def test_open_quotes_take_linear_time():
+    import time
+
+    tokenizer = PackedTokenizer()
+    took = []
+    for n in (4_000, 40_000):
+        began = time.perf_counter()
+        assert tokenizer(",".join(["'a"] * n)) == ["'a"] * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 1e-3)
+    assert tokenizer("'a,'b,'c d',e") == ["a,'b,'c d", "e"] and tokenizer("'a,''b', c") == ["a,'b", "c"] and tokenizer("\"a,'b,'',c") == ['"a', "'b", "c"]
