@@ -20,13 +20,17 @@ Model = Callable[[str], tuple[np.ndarray, np.ndarray]]
 def hashed_model(d: int = 16, context: int = 4) -> Model:
     """A deterministic stand-in for a genome model: a vector per position from a hash of the bases before it."""
 
+    steps = np.arange(1, d + 1, dtype=np.uint64)[:, None]
+
     def run(sequence: str) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer(sequence.encode(), np.uint8).astype(np.uint64)
-        h = np.zeros(len(codes), np.uint64)
+        n = len(sequence)
+        codes = np.zeros(n + context, np.uint64)
+        codes[context:] = np.frombuffer(sequence.encode(), np.uint8)
+        h = np.zeros(n, np.uint64)
         for back in range(context):
-            h = h * np.uint64(131) + np.r_[np.zeros(min(back, len(codes)), np.uint64), codes[: max(0, len(codes) - back)]]
-        mixed = (h[:, None] + np.arange(1, d + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        acts = ((mixed >> np.uint64(40)).astype(np.float64) / 2**23 - 1).astype(np.float32)
+            h = h * np.uint64(131) + codes[context - back : context - back + n]
+        mixed = (h + steps) * np.uint64(0x9E3779B97F4A7C15)
+        acts = ((mixed >> np.uint64(40)).astype(np.int32).astype(np.float32) / np.float32(2**23) - np.float32(1)).T  # 24 bits: exact
         return acts, np.abs(acts[1:]).mean(1)
 
     return run
@@ -62,15 +66,13 @@ def run_model(windows: DataFrame, model: Model) -> DataFrame:
 
 
 def _cosines(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> np.ndarray:
-    """``functions.vectors.cosine`` by row, summed in the same order, so that ties are the same."""
-
-    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for i in range(x.shape[1]):
-            total += x[:, i].astype(np.float64) * y[:, i].astype(np.float64)
-        return total
-
-    return dot(a, b) / (np.maximum(np.sqrt(dot(a, a)), eps) * np.maximum(np.sqrt(dot(b, b)), eps))
+    """``functions.vectors.cosine`` by row, summed in the same order, so that ties are the same; in blocks of rows that a cache holds."""
+    out, step = np.empty(len(a)), max(1, (1 << 17) // max(1, a.shape[1]))
+    for at in range(0, len(a), step):
+        x, y = (np.ascontiguousarray(v[at : at + step].T, np.float64) for v in (a, b))
+        xy, xx, yy = ((p * q).sum(0) for p, q in ((x, y), (x, x), (y, y)))  # over the outer axis: one component after the other
+        out[at : at + step] = xy / (np.maximum(np.sqrt(xx), eps) * np.maximum(np.sqrt(yy), eps))
+    return out
 
 
 def _pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, k: int, sure: int) -> np.ndarray:
@@ -91,35 +93,76 @@ HARVEST = (
     "variant_id string, dir int, slot int, pos bigint, var_same array<float>, ref_same array<float>, ref_cross array<float>, loss float, "
     "mean array<array<double>>, error string"
 )
+COLUMNS = tuple(f.split()[0] for f in HARVEST.split(", "))
+VIEWS = ("var_same", "ref_same", "ref_cross")
+
+#: Slots and bytes of vectors that a task gathers before it hands them on as one Arrow batch.
+BATCH_SLOTS, BATCH_BYTES = 1 << 15, 1 << 26
+
+
+class _Harvest:
+    """What a task has selected so far, in columns; one Arrow batch of slots and one of means are made of it."""
+
+    types = dict(zip(COLUMNS, [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float32())] * 3, pa.float32(), pa.list_(pa.list_(pa.float64())), pa.string()]))
+
+    def __init__(self, k: int, keep: tuple[str, ...]):
+        self.k, self.names, self.kept, self.means, self.bytes = k, [c for c in COLUMNS if c in keep], [], [], 0
 
+    def add(self, key: str, turn: int, pos: np.ndarray, loss: np.ndarray, vectors: list[np.ndarray] | None) -> None:
+        self.kept.append((key, turn, pos, loss, vectors))
+        self.bytes += sum(x.nbytes for x in vectors or ())
 
-def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64, vectors: bool = True) -> DataFrame:
+    def full(self) -> bool:
+        return len(self.kept) * self.k + len(self.means) >= BATCH_SLOTS or self.bytes >= BATCH_BYTES
+
+    def batch(self, n: int, **columns: object) -> pa.RecordBatch:
+        def column(name: str, kind: pa.DataType) -> pa.Array:
+            x = columns.get(name)
+            return pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
+
+        return pa.RecordBatch.from_arrays([column(c, self.types[c]) for c in self.names], names=self.names)
+
+    def lists(self, view: int) -> pa.Array:
+        """Vectors of one view; the slots beyond a row's vectors, which stand last, are null."""
+        parts = [vectors[view] for *_, vectors in self.kept]
+        real = np.arange(self.k) < np.array([len(x) for x in parts])[:, None]
+        upto = np.cumsum(real.ravel() * parts[0].shape[1])
+        offsets = pa.array(np.r_[0, upto].astype(np.int32), mask=np.r_[~real.ravel(), False])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.ascontiguousarray(x, np.float32).ravel() for x in parts])))
+
+    def drained(self) -> Iterator[pa.RecordBatch]:
+        if self.kept:
+            keys, turns, pos, loss, vectors = zip(*self.kept)
+            m = len(keys)
+            views = {} if vectors[0] is None else {name: self.lists(i) for i, name in enumerate(VIEWS)}
+            yield self.batch(
+                m * self.k, variant_id=pa.array(keys, pa.string()).take(pa.array(np.repeat(np.arange(m), self.k))), dir=np.repeat(np.array(turns, np.int32), self.k),
+                slot=np.tile(np.arange(self.k, dtype=np.int32), m), pos=np.concatenate(pos), loss=np.concatenate(loss), **views,
+            )
+        if self.means:
+            keys, turns, means, errors = zip(*self.means)
+            yield self.batch(len(keys), variant_id=keys, dir=turns, slot=[None if t is None else -1 for t in turns], mean=means, error=errors)
+        self.kept, self.means, self.bytes = [], [], 0
+
+
+def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64, keep: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Everything kept of a model's passes, made in the task that runs the model: nothing is shuffled and no position leaves it but the selected ones.
 
     windows: (variant_id, pos, ref, alt, offset, ref_window, var_window); rows without a var_window are left out. For each row and direction there are ``k``
     slots: forward behind the variant, its first ``window`` positions guaranteed; backward before it, none guaranteed; the rest of least similarity. A slot has its
     position on the chromosome, the vectors of three views there (variant, reference, reference of the other strand) and the loss of the variant less that of the
     reference (0 where one has none); beyond the positions it is a pad (pos -1, null vectors). Slot -1 holds the mean: for each view the mean of the RMS-normalised
-    vectors over the shared length, in the backward direction with the roles of the strands swapped. A row whose model fails gives one row with the ``error`` and
-    nothing else; lack of memory and interrupts end the task. One window pair is in memory at a time.
+    vectors over the shared length, in the backward direction with the roles of the strands swapped. Only the columns to ``keep`` are made, and rows
+    of means or errors only with the columns of that name. A row whose model fails gives one row with the ``error`` and nothing else; lack of memory and interrupts end the task. One window pair is in memory at a time, beside
+    what is selected, which leaves in batches of bounded size.
     """
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float32())] * 3, pa.float32(), pa.list_(pa.list_(pa.float64())), pa.string()]
-    names = [f.split()[0] for f in HARVEST.split(", ")]
-
-    def batch(columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) if not isinstance(c, pa.Array) else c for c, t in zip(columns, types)], names=names)
-
-    def rows_of(x: np.ndarray, pos: np.ndarray) -> pa.Array:
-        if not vectors:
-            return pa.nulls(k, types[4])
-        real = int((pos >= 0).sum())  # pads stand last
-        d = x.shape[1]
-        offsets = pa.array(np.r_[np.arange(real + 1) * d, np.full(k - real, real * d)].astype(np.int32), mask=np.r_[np.zeros(real, bool), np.ones(k - real, bool), False])
-        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x[pos[:real]], np.float32).ravel()))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _Harvest(k, keep)
         for whole in batches:
             for at in range(whole.num_rows):
+                if got.full():
+                    yield from got.drained()
                 r = whole.slice(at, 1).to_pylist()[0]
                 try:
                     rf, rb, rfl, rbl = both_directions(model, r["ref_window"])
@@ -127,7 +170,8 @@ def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64,
                 except (MemoryError, KeyboardInterrupt):
                     raise
                 except Exception as error:  # noqa: BLE001 - whatever a model may raise is reported, and the others go on
-                    yield batch([[r["variant_id"]], *[[None]] * 8, [f"{type(error).__name__}: {error}"]])
+                    if "error" in keep:
+                        got.means.append((r["variant_id"], None, None, f"{type(error).__name__}: {error}"))
                     continue
                 shared, o = min(len(rf), len(vf)), r["offset"]
                 behind = o + max(len(r["ref"]), len(r["alt"]))
@@ -136,15 +180,15 @@ def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64,
                     both = (pos >= 0) & (pos < min(len(vl), len(rl)))
                     loss = np.zeros(k, np.float32)
                     loss[both] = vl[pos[both]] - rl[pos[both]]
-                    yield batch([
-                        [r["variant_id"]] * k, np.full(k, turn, np.int32), np.arange(k, dtype=np.int32), np.where(pos >= 0, pos + r["pos"] - o, -1),
-                        *[rows_of(x, pos) for x in (var, same, cross)], loss, pa.nulls(k, types[8]), pa.nulls(k, pa.string()),
-                    ])
-                    means = [_mean_normalised(x[:shared]) for x in (var, same, cross)]
-                    yield batch([[r["variant_id"]], [turn], [-1], *[[None]] * 5, [means], [None]])
+                    real = pos[pos >= 0]  # pads stand last
+                    got.add(r["variant_id"], turn, np.where(pos >= 0, pos + r["pos"] - o, -1), loss, [x[real] for x in (var, same, cross)] if vectors else None)
+                    if "mean" in keep:
+                        got.means.append((r["variant_id"], turn, [_mean_normalised(x[:shared]) for x in (var, same, cross)], None))
+        yield from got.drained()
 
+    vectors = bool({*VIEWS} & {*keep})
     usable = windows.filter("var_window is not null").select("variant_id", "pos", "ref", "alt", "offset", "ref_window", "var_window")
-    return usable.mapInArrow(infer, HARVEST)
+    return usable.mapInArrow(infer, ", ".join(f for f in HARVEST.split(", ") if f.split()[0] in keep))
 
 
 def selected_positions(windows: DataFrame, model: Model, k: int = 256, window: int = 64) -> DataFrame:
@@ -153,7 +197,7 @@ def selected_positions(windows: DataFrame, model: Model, k: int = 256, window: i
     windows: (variant_id, ref, alt, offset, ref_window, var_window). Variants without var_window give no rows.
     """
     placed = windows.withColumn("pos", F.col("offset").cast("bigint"))  # so that the window starts at 0
-    return harvested(placed, model, k, window, vectors=False).filter("slot >= 0").select("variant_id", "dir", "slot", "pos")
+    return harvested(placed, model, k, window, keep=("variant_id", "dir", "slot", "pos"))
 
 
 def projection(d_in: int, d_hidden: int, seed: int = 42) -> np.ndarray:
