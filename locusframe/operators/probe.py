@@ -29,9 +29,13 @@ def hashed_model(d: int = 16, context: int = 4) -> Model:
         h = np.zeros(n, np.uint64)
         for back in range(context):
             h = h * np.uint64(131) + codes[context - back : context - back + n]
-        mixed = (h + steps) * np.uint64(0x9E3779B97F4A7C15)
-        acts = ((mixed >> np.uint64(40)).astype(np.int32).astype(np.float32) / np.float32(2**23) - np.float32(1)).T  # 24 bits: exact
-        return acts, np.abs(acts[1:]).mean(1)
+        mixed = h + steps
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed >>= np.uint64(40)
+        acts = mixed.astype(np.int32).astype(np.float32)  # 24 bits: exact
+        acts *= np.float32(2**-23)
+        acts -= np.float32(1)
+        return acts.T, np.abs(acts[:, 1:]).mean(0)
 
     return run
 
@@ -79,8 +83,10 @@ def _pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, k: int, sure:
     """``k`` positions of start..end: the first ``sure``, then those of least similarity, in ascending order; -1 beyond them."""
     first = min(start + sure, end, start + k)
     order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - (first - start)] if end > start else np.empty(0, np.int64)
-    found = np.sort(np.r_[np.arange(start, max(first, start)), first + order]).astype(np.int64)
-    return np.r_[found, np.full(k - len(found), -1, np.int64)]
+    out, given = np.full(k, -1, np.int64), max(first - start, 0)
+    out[:given] = np.arange(start, start + given)
+    out[given : given + len(order)] = np.sort(order) + first
+    return out
 
 
 def _mean_normalised(x: np.ndarray, eps: float = FLOAT_EPS) -> list[float]:
@@ -177,10 +183,11 @@ def harvested(windows: DataFrame, model: Model, k: int = 256, window: int = 64,
                 behind = o + max(len(r["ref"]), len(r["alt"]))
                 for turn, var, same, cross, vl, rl, start, end, sure in ((0, vf, rf, rb, vfl, rfl, behind, shared, window), (1, vb[:shared], rb[:shared], rf, vbl, rbl, 0, o, 0)):
                     pos = _pick(var, same, start, end, k, sure)
-                    both = (pos >= 0) & (pos < min(len(vl), len(rl)))
+                    real = pos[: int((pos >= 0).sum())]  # pads stand last
                     loss = np.zeros(k, np.float32)
-                    loss[both] = vl[pos[both]] - rl[pos[both]]
-                    real = pos[pos >= 0]  # pads stand last
+                    if "loss" in keep:
+                        both = np.flatnonzero(real < min(len(vl), len(rl)))
+                        loss[both] = vl[real[both]] - rl[real[both]]
                     got.add(r["variant_id"], turn, np.where(pos >= 0, pos + r["pos"] - o, -1), loss, [x[real] for x in (var, same, cross)] if vectors else None)
                     if "mean" in keep:
                         got.means.append((r["variant_id"], turn, [_mean_normalised(x[:shared]) for x in (var, same, cross)], None))

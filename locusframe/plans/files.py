@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import gene_key, variant_key
 from ..operators import curation, genome, validation
-from ..session import fresh_path, written
+from ..session import fresh_path
 from ..sources import fasta, files, gtf, vcf
 from ..sources.tables import table
 from . import reference as r
@@ -100,7 +100,7 @@ def dropped_counts(spark: SparkSession, d: str) -> DataFrame:
 def fasta_read(spark: SparkSession, d: str) -> DataFrame:
     """The letters of every document as a record with lines of 60, read as tiles."""
     path = fresh_path(spark, "genome.fa")
-    records = r._doc_genome(spark, d)
+    records = r._doc_letters(spark, d)
     records.select(F.concat(F.lit(">chr"), "chrom", F.lit(" letters of a document\n"), F.regexp_replace("sequence", "(.{60})(?=.)", "$1\n")).alias("value")).write.text(path)
     return fasta.read_fasta(spark, path, 4096, known=None).select("chrom", "bin", F.md5("seq").alias("seq_md5"))
 
@@ -188,7 +188,7 @@ y AS (SELECT *, greatest(0, least(q - 300, n - least(400, n))) AS a FROM w)"""
 @query(f"WITH {r._DOC_GENOME}, {_TILED} SELECT row_id, variant_id, a::BIGINT AS win_start, (a + least(400, n))::BIGINT AS win_end, md5(substring(t, (a + 1)::INT, least(400, n)::INT)) AS ref_md5, coalesce(substring(substring(t, (a + 1)::INT, least(400, n)::INT), (q - a + 1)::INT, length(ref)) = ref, false) AS ref_ok FROM y")
 def genome_windows_of_rows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of every row of ``variants``, where one variant stands in many rows and many rows share a window; documents serve as chromosomes."""
-    chromosomes = written(r._doc_genome(spark, d), "genome")
+    chromosomes = r._doc_genome(spark, d)
     last = table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
     rows = table(spark, d, "variants").select("row_id", "variant_id", (F.col("allele_id") % last).cast("string").alias("chrom"), "pos", "ref", "alt")
     rows = rows.join(genome.lengths(genome.tiles(chromosomes, 256)).withColumnRenamed("chrom_length", "__n"), "chrom").withColumn("pos", F.col("pos") % F.col("__n")).drop("__n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import annotate, seq, vectors
 from ..functions.keys import gene_key, split_key, variant_key
 from ..operators import activations, curation, genome, metrics, probe, validation
+from ..session import written
 from ..sources import files, gtf, vcf
 from ..sources.tables import table
 from .numbered import SQL_BLANKS, SQL_LATEST, sql_consequence, sql_gene, sql_stars, sql_term, sql_variant
@@ -217,12 +218,17 @@ def gene_enrich_ordered(spark: SparkSession, d: str) -> DataFrame:
 _DOC_GENOME = "x AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, upper(t) AS t, length(t)::BIGINT AS n, (doc_id * 37) % length(t) AS p FROM x WHERE t <> '')"
 
 
-def _doc_genome(spark: SparkSession, d: str) -> DataFrame:
+def _doc_letters(spark: SparkSession, d: str) -> DataFrame:
     """Letters of each document as a chromosome."""
     text = F.regexp_replace("text", "[^A-Za-z]", "")
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chrom"), text.alias("sequence")).filter("sequence <> ''")
 
 
+def _doc_genome(spark: SparkSession, d: str) -> DataFrame:
+    """The same, taken out once for the tiles, lengths and variants made of them."""
+    return written(_doc_letters(spark, d), "letters")
+
+
 def _doc_variants(chromosomes: DataFrame, wrong: bool = True) -> DataFrame:
     """One variant a document; ``wrong``: every fourth has a reference allele that does not stand there."""
     n, doc = F.length("sequence"), F.col("chrom").cast("bigint")
