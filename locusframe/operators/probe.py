@@ -20,7 +20,8 @@ Model = Callable[[str], tuple[np.ndarray, np.ndarray]]
 def hashed_model(d: int = 16, context: int = 4) -> Model:
     """A deterministic stand-in for a genome model: a vector per position from a hash of the bases before it."""
 
-    steps = np.arange(1, d + 1, dtype=np.uint64)[:, None]
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    steps = np.arange(1, d + 1, dtype=np.uint64)[:, None] * odd
 
     def run(sequence: str) -> tuple[np.ndarray, np.ndarray]:
         n = len(sequence)
@@ -29,8 +30,7 @@ def hashed_model(d: int = 16, context: int = 4) -> Model:
         h = np.zeros(n, np.uint64)
         for back in range(context):
             h = h * np.uint64(131) + codes[context - back : context - back + n]
-        mixed = h + steps
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed = h * odd + steps
         mixed >>= np.uint64(40)
         acts = mixed.astype(np.int32).astype(np.float32)  # 24 bits: exact
         acts *= np.float32(2**-23)
@@ -82,8 +82,11 @@ def _cosines(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> np.ndarray:
 def _pick(var: np.ndarray, ref: np.ndarray, start: int, end: int, k: int, sure: int) -> np.ndarray:
     """``k`` positions of start..end: the first ``sure``, then those of least similarity, in ascending order; -1 beyond them."""
     first = min(start + sure, end, start + k)
-    order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - (first - start)] if end > start else np.empty(0, np.int64)
     out, given = np.full(k, -1, np.int64), max(first - start, 0)
+    if end - start <= k:  # all of them, whatever their similarity
+        out[: max(end - start, 0)] = np.arange(start, end)
+        return out
+    order = np.argsort(_cosines(var[first:end], ref[first:end]), kind="stable")[: k - given]
     out[:given] = np.arange(start, start + given)
     out[given : given + len(order)] = np.sort(order) + first
     return out
