@@ -218,6 +218,16 @@ def test_harvest_inside_the_task(spark):
             mine = {(r.variant_id, j): x for r in kept if r.slot == -1 and r.dir == d for j, x in enumerate(r["mean"][i])}
             assert set(mine) == set(means) and all(abs(mine[x] - means[x]) < 1e-9 for x in mine)
 
+    places = {(r.variant_id, r.dir, r.slot): r.pos + at[r.variant_id] if r.pos >= 0 else -1 for r in probe.selected_positions(windows, model, k, sure).collect()}
+    assert places == {key: r.pos for key, r in got.items()}
+    wide = 1 << 14  # more slots than one batch holds
+    many = probe.harvested(windows, model, wide, sure, keep=("pos", "slot", "var_same", "variant_id", "dir"))
+    assert many.columns == ["variant_id", "dir", "slot", "pos", "var_same"]
+    found = many.filter("pos >= 0").groupBy("variant_id", "dir").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.count("var_same").alias("vectors")).collect()
+    assert many.count() == 2 * wide * len(data) and all(r.n == r.last + 1 == r.vectors for r in found)
+    lengths = {(r.variant_id, d): n for r in windows.collect() for d, n in ((0, min(len(r.ref_window), len(r.var_window)) - r.offset - max(len(r.ref), len(r.alt))), (1, r.offset)) if n > 0}
+    assert {(r.variant_id, r.dir): r.n for r in found} == lengths
+
     def failing(sequence):
         if sequence.startswith(chrom[140]):
             raise RuntimeError("no")
