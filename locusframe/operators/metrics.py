@@ -5,17 +5,22 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.annotate import strata
 from ..session import written
-from .ordering import blocked_totals, join_null_safe, running_totals
+from .ordering import join_null_safe, running_totals
 
 DRAWS = 1 << 14  # draws of one generated block
+OFFSETS = 1 << 15  # ranks of a block within which a draw is an offset of two bytes
+PACK = 1 << 20  # draws of a replicate that are sorted together
 
 
 @dataclass(frozen=True)
@@ -102,43 +107,103 @@ def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     return s.select(*group, rho.alias("spearman"))
 
 
-def bootstrap_draws(sizes: DataFrame, group: list[str], replicates: int, seed: int = 42) -> DataFrame:
-    """(group, b, position, times): how often each row is drawn in each of ``replicates`` samples with replacement.
+def bootstrap_draws(spark: SparkSession, sizes: list[int], replicates: int, seed: int = 42, size: int = OFFSETS, pack: int = PACK) -> DataFrame:
+    """(__g, __block, b, drawn): the rows drawn in ``replicates`` samples with replacement, as two-byte offsets in blocks of ``size`` positions.
 
-    sizes: (group, n). Draw d of replicate b takes row md5(seed:b:d) mod n. Draws are generated in blocks, so no row holds all of them.
+    sizes: rows of each group; __g is the place in the list. Draw d of replicate b takes row md5(seed:b:d) mod n. The hash knows no group, so it is made once for
+    all of them, and up to ``pack`` draws are sorted and leave their task as one row a block.
     """
-    blocks = sizes.filter("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS)))
-    )
-    # few rows become very many: spread them first, by a number of partitions that is not merged again for their small size
-    blocks = blocks.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "__block")
-    first = F.col("__block") * DRAWS
-    draws = blocks.withColumn("__d", F.explode(F.sequence(first, F.least(first + (DRAWS - 1), F.col("n") - 1))))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("__d").cast("string"))
-    position = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    return draws.select(*group, "b", position.alias("position")).groupBy(*group, "b", "position").agg(F.count("*").alias("times"))
+    assert size <= 1 << 16, "offsets have two bytes"
+    most = max(sizes, default=0)
+    falling = sorted(range(len(sizes)), key=lambda g: -sizes[g])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-replicates * most // (4 * pack)))
+    b, d = F.expr(f"id div {max(most, 1)}"), F.col("id") % max(most, 1)
+    key = F.concat_ws(":", F.lit(str(seed)), b.cast("string"), d.cast("string"))
+    hashes = spark.range(0, replicates * most, 1, parts).select(b.cast("int").alias("b"), d.alias("d"), F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint").alias("h"))
+
+    def cells(b: int, first: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(held)
+        for g in falling:
+            n = sizes[g]
+            if n <= first:
+                return
+            at = np.sort(h[: n - first] % n)
+            block = at // size
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(starts, len(at)).astype(np.int32) * 2
+            drawn = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer((at - block * size).astype("<u2"))])
+            number, replicate = (pa.array(np.full(len(starts), x, np.int32)) for x in (g, b))
+            yield pa.RecordBatch.from_arrays([number, pa.array(block[starts]), replicate, drawn], names=["__g", "__block", "b", "drawn"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, of = [], 0, -1  # hashes of consecutive draws of one replicate
+        for batch in batches:
+            bs, ds, hs = (batch.column(c).to_numpy() for c in ("b", "d", "h"))
+            cuts = [*np.flatnonzero(np.diff(bs, prepend=-1)), len(bs)]
+            for i, j in pairwise(cuts):
+                if held and (bs[i] != of or sum(map(len, held)) >= pack):
+                    yield from cells(of, first, held)
+                    held = []
+                if not held:
+                    first, of = int(ds[i]), int(bs[i])
+                held.append(hs[i:j])
+        if held:
+            yield from cells(of, first, held)
+
+    return hashes.mapInArrow(packed, "__g int, __block bigint, b int, drawn binary")
 
 
 def bootstrap_intervals(
-    rows: DataFrame, group: list[str], score: str, label: str, tie: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, least: int = 5
+    rows: DataFrame, group: list[str], score: str, label: str, tie: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42, least: int = 5, size: int = OFFSETS, pack: int = PACK
 ) -> DataFrame:
     """(group, auroc_ci_lo, auroc_ci_hi, auprc_ci_lo, auprc_ci_hi): percentile intervals.
 
-    Rows are ranked once; a replicate is a weight per rank, never a copy of the rows. Within a replicate the copies of a row stand together. Replicates without
-    both classes give no AUROC; without any the bounds are NaN. Groups with fewer than ``least`` of a class are left out.
+    Rows are ranked once; a replicate is what is drawn of each block of ranks, then one bit a draw: the labels in the order of the ranks, in which the copies of a
+    row stand together. Replicates without both classes give no AUROC; without any the bounds are NaN. Groups with fewer than ``least`` of a class are left out.
+    The driver reads one row a group.
     """
-    clean = _clean(rows, group, score, label, tie)
-    ranked = running_totals(clean, group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)}).select(*group, "__y", (F.col("__rank") - 1).alias("position"))
-    sizes = clean.groupBy(*group).agg(F.count("*").alias("n"), F.sum("__y").alias("__p")).filter((F.col("__p") >= least) & (F.col("n") - F.col("__p") >= least)).drop("__p")
-    drawn = join_null_safe(bootstrap_draws(sizes, group, replicates, seed), ranked, [*group, "position"])
-    run = blocked_totals(written(drawn, "drawn"), [*group, "b"], "position", {"__k": F.col("times"), "__tp": F.col("times") * F.col("__y")})
-    above = F.sum(F.when(F.col("__y") == 0, F.col("times") * F.col("__tp")).otherwise(0))
-    # a positive drawn m times stands at ranks k-m+1..k with m consecutive counts of positives
-    first_k, first_tp = F.col("__k") - F.col("times"), F.col("__tp") - F.col("times")
-    copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("times")), lambda i: (first_tp + i) / (first_k + i))
-    precision = F.sum(F.when(F.col("__y") == 1, F.aggregate(copies, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0))
-    each = run.groupBy(*group, "b").agg(F.sum("times").alias("__n"), F.sum(F.col("times") * F.col("__y")).alias("__p"), above.cast("double").alias("__g_auroc"), precision.alias("__g_auprc"))
-    return _percentiles(each, group, alpha, METRICS)
+    spark = rows.sparkSession
+    ranked = running_totals(_clean(rows, group, score, label, tie), group, [F.col(score).desc(), F.col(tie).asc()], {"__rank": F.lit(1)})
+    ranked = written(ranked.select(*group, "__y", (F.col("__rank") - 1).alias("position")), "ranked")
+    n, p = F.count("*").alias("__n"), F.sum("__y").alias("__p")
+    found = ranked.groupBy(*group).agg(n, p).filter((F.col("__p") >= least) & (F.col("__n") - F.col("__p") >= least)).collect()
+    schema = T.StructType([*(T.StructField(g, ranked.schema[g].dataType) for g in group), T.StructField("__g", T.IntegerType())])
+    numbers = spark.createDataFrame([(*r[: len(group)], i) for i, r in enumerate(found)], schema)
+    labels = join_null_safe(ranked, F.broadcast(numbers), group).select("__g", F.expr(f"position div {size}").alias("__block"), (F.col("position") % size).cast("int").alias("__at"), "__y")
+    draws = bootstrap_draws(spark, [r["__n"] for r in found], replicates, seed, size, pack)
+
+    def copied(key: tuple, labels: pa.Table, draws: pa.Table) -> pa.Table:
+        y = np.zeros(labels.num_rows, np.uint8)
+        y[labels["__at"].to_numpy()] = labels["__y"].to_numpy()
+        of: dict[int, list[bytes]] = {}
+        for b, drawn in zip(draws["b"].to_pylist(), draws["drawn"].to_pylist()):
+            of.setdefault(b, []).append(drawn)
+        out = []
+        for b, drawn in of.items():
+            copies = np.repeat(y, np.bincount(np.frombuffer(b"".join(drawn), "<u2"), minlength=len(y)))
+            out.append((b, len(copies), int(copies.sum()), np.packbits(copies).tobytes()))
+        bs, ns, ps, bits = zip(*out) if out else ((),) * 4
+        keys = [pa.array([k.as_py()] * len(out), k.type) for k in key]
+        return pa.table([*keys, pa.array(bs, pa.int32()), pa.array(ns, pa.int64()), pa.array(ps, pa.int64()), pa.array(bits, pa.binary())], names=["__g", "__block", "b", "__n", "__p", "bits"])
+
+    at = ["__g", "__block"]
+    parts = labels.groupBy(*at).cogroup(draws.groupBy(*at)).applyInArrow(copied, "__g int, __block bigint, b int, __n bigint, __p bigint, bits binary")
+    earlier = W.partitionBy("__g", "b").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__b{c}") for c in ("__n", "__p")])
+    sums = ["__n", "__p", *[f"__g_{name}" for name in METRICS]]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gains = np.zeros((len(METRICS), batch.num_rows))
+            for i, (bits, n, n0, p0) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bits", "__n", "__b__n", "__b__p")))):
+                y = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(np.int64)
+                tp, rank = p0 + np.cumsum(y), n0 + np.arange(1, n + 1)
+                gains[:, i] = [m.gain(y, tp, rank).sum() for m in METRICS.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__g", "b", "__n", "__p")), *map(pa.array, gains)], names=["__g", "b", *sums])
+
+    each = parts.mapInArrow(measured, ", ".join(["__g int, b int, __n bigint, __p bigint", *(f"`{c}` double" for c in sums[2:])]))
+    bounds = _percentiles(each.groupBy("__g", "b").agg(*[F.sum(c).alias(c) for c in sums]), ["__g"], alpha, METRICS)
+    return bounds.join(F.broadcast(numbers), "__g").select(*group, *bounds.columns[1:])
 
 
 def _percentiles(each: DataFrame, group: list[str], alpha: float, metrics: dict[str, Metric]) -> DataFrame:

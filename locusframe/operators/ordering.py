@@ -93,20 +93,6 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], totals:
     return rows.select(*names, *[(F.col(f"__l_{n}") + F.when(F.col("__first"), F.col(f"__b_{n}")).otherwise(0)).alias(n) for n in sums])
 
 
-def blocked_totals(df: DataFrame, group: list[str], position: str, totals: dict[str, Column], size: int = 1 << 14) -> DataFrame:
-    """``running_totals`` in the order of an integer ``position``: blocks of ``size`` positions take the place of range partitions.
-
-    Nothing is sampled or written; a window never holds more than one block.
-    """
-    valued = df.select("*", F.floor(F.col(position) / size).alias("__block"), *[c.alias(f"__v_{n}") for n, c in totals.items()])
-    blocks = valued.groupBy(*group, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
-    earlier = W.partitionBy(*group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    before = blocks.select(*group, "__block", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in totals])
-    inside = W.partitionBy(*group, "__block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    local = valued.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__l_{n}") for n in totals])
-    return join_null_safe(local, before, [*group, "__block"]).select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in totals])
-
-
 def seeded_key(key: Column, seed: int = 42) -> Column:
     """Order key of a reproducible shuffle."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))

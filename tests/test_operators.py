@@ -90,6 +90,51 @@ def test_bootstrap_against_numpy(spark):
     assert np.allclose([got.auroc_ci_lo, got.auroc_ci_hi, got.auprc_ci_lo, got.auprc_ci_hi], want)
 
 
+def broadcast_rows(spark):
+    """Most rows that a broadcast of each query so far had, by the query's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, most = spark._jsparkSession.sharedState().statusStore(), {}
+    ran = store.executionsList()
+    for e in (ran.apply(i) for i in range(ran.size())):
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size()) if node.name() == "BroadcastExchange"):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most[e.executionId()] = max(most.get(e.executionId(), 0), int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_bootstrap_draws_stay_in_tasks(spark):
+    """Draws of several blocks, packs and groups against brute force; none is among the rows that are broadcast."""
+    import hashlib
+
+    rng, b = np.random.default_rng(6), 40
+    data, ranked = [], {}
+    for g, n in (("a", 9000), (None, 1013), ("b", 64), ("few", 9)):
+        y, s = rng.permutation(np.arange(n) % 2), rng.random(n)
+        data += [(g, f"v{i:05d}", float(s[i]), int(y[i])) for i in range(n)]
+        ranked[g] = y[np.argsort(-s)]
+    del ranked["few"]
+    hashes = np.array([[int(hashlib.md5(f"42:{r}:{d}".encode()).hexdigest()[:8], 16) for d in range(9000)] for r in range(b)])
+    before = broadcast_rows(spark)
+    for cut in ({}, {"size": 256, "pack": 500}):
+        got = {r.g: tuple(r)[1:] for r in metrics.bootstrap_intervals(scored(spark, data), ["g"], "score", "y", "variant_id", replicates=b, **cut).collect()}
+        assert set(got) == set(ranked)
+        for g, y in ranked.items():
+            values, n = [], len(y)
+            for r in range(b):
+                t = y[np.sort(hashes[r, :n] % n)]
+                tp = np.cumsum(t)
+                values.append(((tp * (1 - t)).sum() / (t.sum() * (n - t.sum())), (tp / np.arange(1, n + 1) * t).sum() / t.sum()))
+            assert np.allclose(got[g], [np.quantile(np.array(values)[:, m], q) for m in (0, 1) for q in (0.025, 0.975)], rtol=0, atol=1e-12)
+    ran = {k: v for k, v in broadcast_rows(spark).items() if k not in before}
+    assert ran and max(ran.values()) < 1000
+    none = metrics.bootstrap_intervals(scored(spark, data[-9:]), ["g"], "score", "y", "variant_id", replicates=b)
+    assert none.count() == 0 and none.columns == ["g", "auroc_ci_lo", "auroc_ci_hi", "auprc_ci_lo", "auprc_ci_hi"]
+    whole = metrics.bootstrap_intervals(scored(spark, data).filter("g = 'a'"), [], "score", "y", "variant_id", replicates=b).first()
+    assert np.allclose(tuple(whole), got["a"], rtol=0, atol=1e-12)
+
+
 def test_shards_and_checks(spark, rows):
     df = spark.createDataFrame([(i,) for i in range(10)], "i int")
     shards = validation.contiguous_shards(df, [F.col("i").asc()], 4)
